@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
-from .common import documents
+from . import exact_dedup, mixing, packing, quality
+from .common import documents, materialize, n_words
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,9 +16,28 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), VOCAB)
 
 
+def op3_isolation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("words"))
+    out = mixing.mixed(materialize(sizes, "sizes"), size_col="words")
+    return mixing.in_training_order(out.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.position", "mix.repeat_position"), "position")
+
+
+def op9_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_curve_packing,)}
+    found = (op1_curve_packing, op3_isolation_quality, op8_curriculum_mix, op9_bloom_exact_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_bloom_exact_dedup": exact_dedup.ORACLE_SQL}
