@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+from itertools import islice
+
 import numpy as np
 
 from .common import Codes
 
+#: A run of punctuation that ends a word, after a letter.
+TAIL = re.compile(rb"(?<=[a-z])[.,;:!?*#$%&|)(\]\[\"/-]+\Z")
+
 _CACHES: dict[tuple[str, bool], "WordTokens"] = {}
 
 
@@ -23,11 +30,16 @@ class WordTokens:
     then encoded on its own anyway. The cache forgets all beyond `most` words.
     """
 
-    def __init__(self, path: str, plain: bool = False, most: int = 600_000):
+    def __init__(self, path: str, plain: bool = False, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = plain
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
         self._clear()
 
     def _clear(self) -> None:
@@ -35,34 +47,57 @@ class WordTokens:
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode the words that got a code since the last call; they are the dictionary's newest."""
-        for i in range(0, len(words), 500):
-            part = [w.decode("utf-8", "replace") for w in words[i : i + 500]]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32)
-            of = np.array(e.word_ids, np.int64)
-            counts = np.bincount(of, minlength=len(part)) if len(of) else np.zeros(len(part), np.int64)
-            self.flat, self.starts, self.lengths = (
-                _room(self.flat, self.used + len(ids)), _room(self.starts, self.known + len(part)), _room(self.lengths, self.known + len(part)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.lengths[self.known : self.known + len(part)] = counts
-            self.starts[self.known : self.known + len(part)] = self.used + np.cumsum(counts) - counts
-            self.used += len(ids)
-            self.known += len(part)
+    def _learn(self) -> None:
+        """Encode the words that got a code since the last call; they are the dictionary's newest.
+
+        A word that ends in a letter and then punctuation is put together from the ids of
+        its two parts, between which the tokenizer splits anyway.
+        """
+        first, whole, joined = self.known, [], []
+        for code, word in enumerate(list(islice(reversed(self.codes), len(self.codes) - first))[::-1], first):
+            if at := TAIL.search(word):
+                joined.append((code, self.codes[word[: at.start()]], self.codes[word[at.start() :]]))
+            else:
+                whole.append((code, word))
+        for code, word in enumerate(list(islice(reversed(self.codes), len(self.codes) - first - len(whole) - len(joined)))[::-1], first + len(whole) + len(joined)):
+            whole.append((code, word))
+        self.known = len(self.codes)
+        self.starts, self.lengths = _room(self.starts, self.known), _room(self.lengths, self.known)
+        simple = [x for x in whole if x[1].isalpha() and x[1].islower()] if self.ends.any() else []
+        for i in range(0, len(simple), 500):  # ASCII letters only: one token list each, told apart by its end-of-word token
+            part = simple[i : i + 500]
+            ids = np.array(self.tokenizer.encode(b" ".join(w for _, w in part).decode(), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            self._store(np.array([c for c, _ in part]), ids, np.diff(last, prepend=-1))
+        if simple:
+            known = {c for c, _ in simple}
+            whole = [x for x in whole if x[0] not in known]
+        for i in range(0, len(whole), 500):
+            part = whole[i : i + 500]
+            e = self.tokenizer.encode([w.decode("utf-8", "replace") for _, w in part], is_pretokenized=True, add_special_tokens=False)
+            self._store(np.array([c for c, _ in part]), np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+        if joined:
+            made = np.array(joined)
+            ids, counts = self.gather(made[:, 1:].ravel(), np.full(len(made), 2))
+            self._store(made[:, 0], ids, counts)
+
+    def _store(self, codes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lengths[codes] = counts
+        self.starts[codes] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
 
     def words(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(code of each word of all texts, number of words of each text). None has none."""
         if len(self.codes) > self.most:
             self._clear()
-        split = [x.split() if x else [] for x in texts]
+        # A-Z are lowered by the tokenizer too; with combining marks about, it must compose first.
+        split = [(x.lower() if self.lowers and b"\xcc" not in x else x).split() if x else [] for x in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         codes = self.codes.of([w for s in split for w in s])
         if len(self.codes) > self.known:
-            from itertools import islice
-
-            newest = list(islice(reversed(self.codes), len(self.codes) - self.known))
-            self._learn(newest[::-1])
+            self._learn()
         return codes, counts
 
     def gather(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
