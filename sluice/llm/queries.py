@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality
+from . import exact_dedup, mixing, ngram_join, packing, quality
 from .common import documents, materialize, n_words
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,10 @@ def op3_isolation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(documents(spark, sf_dir))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("words"))
     out = mixing.mixed(materialize(sizes, "sizes"), size_col="words")
@@ -35,7 +39,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_curve_packing, op3_isolation_quality, op8_curriculum_mix, op9_bloom_exact_dedup)
+    found = (op1_curve_packing, op3_isolation_quality, op6_bayes_jaccard_join, op8_curriculum_mix, op9_bloom_exact_dedup)
     return {f.__name__: f for f in found}
 
 
