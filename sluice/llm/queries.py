@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, quality
+from . import exact_dedup, language, mixing, ngram_join, packing, quality, toxicity
 from .common import documents, materialize, n_words
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,10 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), VOCAB)
 
 
+def op2_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(documents(spark, sf_dir))
+
+
 def op3_isolation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -34,12 +38,16 @@ def op9_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def queries() -> dict:
-    found = (op1_curve_packing, op3_isolation_quality, op6_bayes_jaccard_join, op8_curriculum_mix, op9_bloom_exact_dedup)
+    found = (op1_curve_packing, op2_bitmask_language, op3_isolation_quality, op6_bayes_jaccard_join, op8_curriculum_mix, op9_bloom_exact_dedup, op10_zstd_toxicity)
     return {f.__name__: f for f in found}
 
 
