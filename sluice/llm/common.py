@@ -125,3 +125,35 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+#: Slots of one row of Spark's bitmap functions.
+BITMAP = 32_768
+#: A filter of up to so many bytes is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def bitmap_bit(bitmap: Column, bit: Column) -> Column:
+    """Whether a bit of a bitmap made by bitmap_construct_agg is set; false without a bitmap."""
+    byte = F.conv(F.hex(F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    power = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8).cast("int") + 1)
+    return F.coalesce(byte.bitwiseAND(power) > 0, F.lit(False))
+
+
+def split_by_filter(df: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame] | None:
+    """(rows whose hash in column may be among the keys, rows whose is not): a Bloom filter of one hash, 16 slots a key.
+
+    Rows of the second kind need no join. None where the filter would be too large to
+    broadcast; then all rows have to be joined.
+    """
+    bits = max(15, (16 * max(1, keys.count()) - 1).bit_length())
+    if (1 << bits) // 8 > BROADCAST_BYTES:
+        return None
+    mask = (1 << bits) - 1
+    slot = F.col(key).bitwiseAND(F.lit(mask))
+    filled = keys.select(slot.alias("slot")).select(F.expr(f"slot div {BITMAP}").alias("__bucket"), F.expr(f"slot % {BITMAP}").alias("bit"))
+    filled = materialize(filled.groupBy("__bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("__bitmap")), "filter")
+    own = F.col(column).bitwiseAND(F.lit(mask))
+    # 2**bits slots, so 64 MB at most (checked above)
+    tested = df.join(F.broadcast(filled), F.floor(own / BITMAP) == F.col("__bucket"), "left").withColumn("__may", bitmap_bit(F.col("__bitmap"), own % BITMAP)).drop("__bucket", "__bitmap")
+    return tested.filter("__may").drop("__may"), tested.filter(~F.col("__may")).drop("__may")

@@ -10,13 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-#: Slots of one Bitmap row of Spark's bitmap functions.
-BITMAP = 32_768
-#: A filter of up to so many bytes is broadcast; a larger one is joined by its rows' numbers.
-BROADCAST_BYTES = 64 << 20
-
+from .common import BITMAP, BROADCAST_BYTES, bitmap_bit, materialize
 
 def slots_of(digest: Column, bits: int) -> list[Column]:
     """The two slots, from 0 to 2**bits - 1, of a hexadecimal digest."""
@@ -48,9 +42,7 @@ def maybe_repeated(digests: DataFrame, bloom: DataFrame, bits: int) -> DataFrame
         side = bloom.select(F.col("bucket").alias("b"), F.col("bitmap").alias("m"))
         out = out.withColumn("slot", slot)
         out = out.join(F.broadcast(side) if small else side, F.expr(f"slot div {BITMAP}") == F.col("b"), "left")
-        bit = F.expr(f"slot % {BITMAP}")
-        byte = F.conv(F.hex(F.substring(F.col("m"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8).cast("int") + 1)) > 0, F.lit(False))
+        hit = bitmap_bit(F.col("m"), F.expr(f"slot % {BITMAP}"))
         out = out.withColumn("again", F.col("again") & hit).drop("slot", "b", "m")
     return out
 

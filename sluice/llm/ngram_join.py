@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, as_bytes, materialize, mix, partitions, text_slices
+from .common import Codes, as_bytes, materialize, mix, partitions, split_by_filter, text_slices
 
 WORDS_A_SHINGLE = 5
 #: Bands of four 16-bit MinHash values, each band one 64-bit word. At similarity 0.8 a pair
@@ -287,8 +287,9 @@ def verified(df: DataFrame, groups: DataFrame, ratio: tuple[int, int]) -> DataFr
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES))
     plan = materialize(groups.join(materialize(total, "groups"), "label").select("node", "label", "size", blocks.alias("blocks"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), "plan")
     text = F.col("text").cast("string")
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    read = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_hash"))).select("node", "label", "size", "blocks", "text")
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    docs, _ = split_by_filter(docs, "text_hash", plan, "rep_hash") or (docs, None)  # only those are shuffled
+    read = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))).select("node", "label", "size", "blocks", "text")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -373,8 +374,12 @@ def jaccard_join(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: floa
 def keep_one(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: float = 1e-6) -> DataFrame:
     """df without the documents whose component holds a smaller doc_id; df's columns as they are.
 
-    Rows with a null doc_id stay, and so do rows that repeat the id that stays.
+    Rows that a filter of those hashes lets pass are not shuffled. Rows with a null doc_id stay, and so do rows that repeat the id that stays.
     """
     rows, classes = classes_and_rows(df, ratio, tolerance)
     gone = rows.join(classes.filter("group_size > 1"), "digest").filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash"))
-    return df.join(materialize(gone.distinct(), "gone"), (F.col("doc_id") == F.col("__gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")), "left_anti")
+    gone = materialize(gone.distinct(), "gone")
+    hashed = df.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
+    may, stay = split_by_filter(hashed, "__own", gone, "__hash") or (hashed, None)
+    left = may.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__own") == F.col("__hash")), "left_anti")
+    return (left if stay is None else left.unionByName(stay)).drop("__own")
