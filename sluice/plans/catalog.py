@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import Node
 from ..pipeline import Pipeline
 from ..sources import ParquetTable
-from . import tpch
+from . import operator_queries, tpch
 
 #: Unique keys of the tables; line items have none, so they are known by their place.
 KEYS = {
@@ -36,8 +36,9 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f"tpch_{n}": pipeline_query(make) for n, make in tpch.PIPELINES.items()}
+    found = {f"tpch_{n}": pipeline_query(make) for n, make in tpch.PIPELINES.items()}
+    return found | {f"operator_{n}": pipeline_query(make) for n, make in operator_queries.PIPELINES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"tpch_{n}": sql for n, sql in tpch.SQL.items()}
+    return {f"tpch_{n}": sql for n, sql in tpch.SQL.items()} | {f"operator_{n}": sql for n, sql in operator_queries.SQL.items()}
