@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..predicate import FALSE, TRUE, And, Expr, Field, Lit, all_of, implied_pins, pinned, simplify, weaken
+from ..predicate import FALSE, TRUE, And, Expr, Field, Lit, all_of, implied_pins, nnf, pinned, simplify, split_and, weaken
 from .base import LINEAGE, Node, Push, Status, carried, data_columns, name
 
 _R = "__right_"
@@ -67,27 +67,31 @@ class Join(Node):
         ln, rn = self.names(columns)
         pairs = [(ln[a], rn[b]) for a, b in self.on]
         full = simplify(And(f, self.condition)) if self.condition is not None else f
+        optional = self.how in ("right", "full"), self.how in ("left", "full")
+        same = {ln[a] for a, b in self.on if a == b}
+        # A null in an optional side's key may mean that there was no match, which says nothing of the other key.
+        asked = [{c for c in own.values() if c not in same} if may else set() for own, may in zip((ln, rn), optional, strict=True)]
+        telling = [all_of(q for q in split_and(nnf(full)) if not q.columns() & asked[side] or _rejects_null(q)) for side in (0, 1)]
         fixed = pinned(f)
-        key_fixed = all(a in fixed or b in fixed for a, b in pairs)
+        key_fixed = all(a in pinned(telling[0]) or b in pinned(telling[1]) for a, b in pairs)
         decided = key_fixed and (self.condition is None or self.condition.columns() <= fixed)
         pushes = []
         for side, (own, other) in enumerate(((ln, rn), (rn, ln))):
             mine = set(own.values())
             gone = set(out) - mine | (set(other.values()) - mine)
             back = {new: Field(old) for old, new in own.items()}
-            local = simplify(And(weaken(full, gone), weaken(implied_pins(full, pairs), gone)))
-            # A padded row keeps no trace of what the other side lacked: prune that side by the key alone.
-            key_only = weaken(implied_pins(full, pairs), gone)
-            key_only = simplify(And(key_only, weaken(full, gone | (mine - {p[side] for p in pairs}))))
-            optional = self.how == "full" or self.how == ("right", "left")[side]
-            kept_side = self.how == "full" or self.how == ("left", "right")[side]
+            implied = weaken(implied_pins(telling[1 - side], pairs), gone)
+            local = simplify(And(weaken(full, gone), implied))
+            # A padded row keeps no trace of what this side lacked: prune an optional side by its key alone.
+            key_only = simplify(And(implied, weaken(telling[side], gone | (mine - {p[side] for p in pairs}))))
+            kept_side = optional[1 - side]
             if decided:
                 status, reason = Status.EXACT, ""
             elif kept_side and full.columns() <= mine - ({p[side] for p in pairs} if self.how == "full" else set()):
                 status, reason = Status.EXACT, ""  # every row of this side comes through, and nothing else is asked
             else:
                 status, reason = Status.SUPERSET, f"{self!r}: a join key is not fixed"
-            prune = key_only if optional else local
+            prune = key_only if optional[side] else local
             pushes.append(Push(local.substitute(back), status, reason, prune.substitute(back)))
         return pushes
 
@@ -104,6 +108,14 @@ class Join(Node):
         return out or ({a | b for a in left for b in right} if self.how == "inner" else set())
 
 
+def _rejects_null(q: Expr) -> bool:
+    """Whether an atom on one column is not true of a null."""
+    try:
+        return q.eval_row(dict.fromkeys(q.columns())) is not True
+    except Exception:  # a Python function may not take nulls; then nothing is claimed
+        return False
+
+
 class InnerJoin(Join):
     def __init__(self, left: Node, right: Node, cols_left: Sequence[str], cols_right: Sequence[str] | None = None, **kw):
         super().__init__(left, right, cols_left, cols_right, how="inner", **kw)
