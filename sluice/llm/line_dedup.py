@@ -33,6 +33,23 @@ def hash_of(line: Column, least: int) -> Column:
     return F.when(F.length(key_of(line)) >= least, F.md5(key_of(line).cast("binary")))
 
 
+#: So many frequent lines, 16 bytes each, are looked up within a row; for more, documents are joined with their frequent lines.
+MOST_IN_ROW = 20_000
+
+
+def holds(frequent: DataFrame, n: int, hex_hash: Column) -> Column:
+    """Whether one of the n frequent lines has this hash, found in a constant table of buckets of equal width."""
+    buckets = 1 << max(0, (n // 2).bit_length())
+    place = lambda line: F.xxhash64(line).bitwiseAND(F.lit(buckets - 1)).cast("int")
+    table: list[list[bytes]] = [[] for _ in range(buckets)]
+    for r in frequent.select(place(F.col("line")).alias("at"), "line").collect():  # n was checked
+        table[r["at"]].append(bytes(r["line"]))
+    width = 16 * max(map(len, table))
+    constant = F.lit(b"".join(b"".join(sorted(x)).ljust(width, b"\0") for x in table))
+    line = F.unhex(hex_hash)
+    return F.coalesce(F.contains(F.substring(constant, place(line) * width + 1, F.lit(width)), line), F.lit(False))
+
+
 class LineRuns:
     """The levels of runs. All runs lie in the shared folder, so they outlast executors."""
 
@@ -75,8 +92,9 @@ def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int =
     as documents of their own; doc_id may be null. df's columns pass unchanged, and a
     column named lines is replaced. An empty table gives no rows.
 
-    Lines travel as hashes. A document's frequent hashes come back to it by doc_id and
-    a hash of its text; they are held in one row, as its lines are.
+    Lines travel as hashes. Up to MOST_IN_ROW frequent ones go to the documents, whose
+    texts then aren't shuffled. If there are more, a document's own come back to it by
+    doc_id and a hash of its text; they are held in one row, as its lines are.
     """
     names = [c for c in df.columns if c != "lines"]
     text = F.col(f"doc.{text_col}").cast("string")
@@ -90,12 +108,13 @@ def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int =
     for b in range(batches):
         runs.add(counts.filter(F.col("batch") == b).select("line", "n_docs"))
     frequent = materialize(runs.frequent(), "frequent")
-    drops = held.join(frequent, "line", "left_semi").groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.collect_set("line").alias("drops"))
-    drops = materialize(drops, "drops")
-    out = docs.join(drops, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
-    lines = lines_of(F.col("text"))
-    stay = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("drops"), F.unhex(hash_of(x, least))), F.lit(False))))
-    out = out.withColumn("stay", stay)
+    lines, n = lines_of(F.col("text")), frequent.count()
+    if n <= MOST_IN_ROW:
+        out = docs.withColumn("stay", F.filter(lines, lambda x: ~holds(frequent, n, hash_of(x, least)))) if n else docs.withColumn("stay", lines)
+    else:
+        drops = held.join(frequent, "line", "left_semi").groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.collect_set("line").alias("drops"))
+        out = docs.join(materialize(drops, "drops"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
+        out = out.withColumn("stay", F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("drops"), F.unhex(hash_of(x, least))), F.lit(False)))))
     made = F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("stay")).cast("long").alias("n_dropped"), F.array_join("stay", "\n").alias("kept"))
     return out.select(*[F.col("doc").getField(c).alias(c) for c in names], made.alias("lines"))
 
