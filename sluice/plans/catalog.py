@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import Node
 from ..pipeline import Pipeline
 from ..sources import ParquetTable
-from . import operator_queries, tpch
+from . import lineage_queries, operator_queries, tpch
 
 #: Unique keys of the tables; line items have none, so they are known by their place.
 KEYS = {
@@ -32,13 +32,14 @@ def pipeline_query(make: Callable[[Callable[[str], Node]], Node]):
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The line items that the first row of the top orders was made from."""
+    return lineage_queries.QUERIES["lineage_q3_lineitem"](spark, sf_dir)
 
 
 def queries() -> dict:
     found = {f"tpch_{n}": pipeline_query(make) for n, make in tpch.PIPELINES.items()}
-    return found | {f"operator_{n}": pipeline_query(make) for n, make in operator_queries.PIPELINES.items()}
+    return found | {f"operator_{n}": pipeline_query(make) for n, make in operator_queries.PIPELINES.items()} | lineage_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"tpch_{n}": sql for n, sql in tpch.SQL.items()} | {f"operator_{n}": sql for n, sql in operator_queries.SQL.items()}
+    return {f"tpch_{n}": sql for n, sql in tpch.SQL.items()} | {f"operator_{n}": sql for n, sql in operator_queries.SQL.items()} | lineage_queries.SQL
