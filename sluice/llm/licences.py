@@ -13,6 +13,7 @@ which bounds the chance that no band of one MinHash value agrees.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -76,9 +77,14 @@ def minimum(hashes: Column, mask: int) -> Column:
     return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask))))
 
 
+def constants(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows that are at hand, as one constant of the plan."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in schema.split(', '))}>>")))
+
+
 def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> list[tuple[str, list[int]]]:
     """(name, distinct shingles) of each template; the templates are given, so this is small."""
-    rows = spark.createDataFrame(list(templates), "name string, text string").select("name", F.array_distinct(shingles(F.col("text"))).alias("s")).collect()
+    rows = constants(spark, [{"name": n, "text": t} for n, t in templates], "name string, text string").select("name", F.array_distinct(shingles(F.col("text"))).alias("s")).collect()
     out = [(r.name, sorted(r.s)) for r in rows if r.s]
     if sum(len(s) for _, s in out) > 1_000_000:
         raise ValueError("templates of more than a million shingles are not broadcast")
@@ -107,26 +113,31 @@ def scan(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, contai
         groups.setdefault(1 << (len(s) - 1).bit_length(), []).append((name, s))
     plans = {w: Bands.plan(w, min(len(s) for _, s in found), contained, missed) for w, found in groups.items()}
     sign = lambda x: x - 2**64 if x >= 2**63 else x
-    probes, bands = set(), []
+    probes, bands = {w: set() for w in plans}, []
     for w, found in groups.items():
         for name, s in found:
             for k, mask in enumerate(plans[w].masks):
                 low = min(sign((h ^ mask) % 2**64) for h in s)
-                probes.add(sign((low ^ mask) % 2**64))
-                bands.append((w, k, low, name))
+                probes[w].add(sign((low ^ mask) % 2**64))
+                bands.append({"width": w, "band": k, "low": low, "template": name})
     if not bands:
-        return spark.createDataFrame([], "doc_id long, template string, containment double, first_word long, last_word long")
+        return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("last_word")).limit(0)
     # Bounded by the templates (checked above), so both are broadcast.
-    band_table = F.broadcast(spark.createDataFrame(bands, "width int, band int, low long, template string"))
-    template_shingles = F.broadcast(spark.createDataFrame(known, "template string, wanted array<bigint>"))
+    band_table = F.broadcast(constants(spark, bands, "width int, band int, low bigint, template string"))
+    template_shingles = F.broadcast(constants(spark, [{"template": n, "wanted": s} for n, s in known], "template string, wanted array<bigint>"))
+
+    def probe(width: int | None = None) -> Column:
+        return F.array(*[F.lit(p) for p in sorted(set().union(*(v for w, v in probes.items() if width in (None, w))))])
 
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(F.col("text")).alias("s"))
-    near = docs.filter(F.arrays_overlap("s", F.array(*[F.lit(p) for p in sorted(probes)]))).withColumn("row", F.monotonically_increasing_id())
+    near = docs.filter(F.arrays_overlap("s", probe())).withColumn("row", F.monotonically_increasing_id())
     near = materialize(near, "licences")
     found = None
     for w, plan in sorted(plans.items()):
-        starts = near.select("row", "s", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - plan.length + plan.step), F.lit(plan.step))).alias("start"))
-        windows = starts.select("row", "start", F.slice("s", F.col("start"), F.lit(plan.length)).alias("window")).filter(F.arrays_overlap("window", F.array(*[F.lit(p) for p in sorted(probes)])))
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - plan.length + plan.step), F.lit(plan.step))
+        cut = F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice(F.col("s"), i, F.lit(plan.length)).alias("window")))  # noqa: B023
+        own = probe(w)
+        windows = near.filter(F.arrays_overlap("s", own)).select("row", F.inline(F.filter(cut, lambda x: F.arrays_overlap(x.getField("window"), own))))  # noqa: B023
         values = F.array(*[F.struct(F.lit(k).alias("band"), minimum(F.col("window"), m).alias("low")) for k, m in enumerate(plan.masks)])
         hits = windows.select("row", "start", "window", F.explode(values).alias("v")).join(band_table.filter(F.col("width") == w), (F.col("v.band") == F.col("band")) & (F.col("v.low") == F.col("low")))
         hits = hits.select("row", "start", "window", "template").join(template_shingles, "template")
