@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     s = s.withColumn("rest", F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     s = s.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(all_) - F.col("full")) / F.col("rest"))
     # The level at the first source that isn't full holds for it and all after it.
-    s = s.withColumn("level", F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(all_).getField("level"))
+    s = s.withColumn("level", F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "source_rank", "level"))).over(all_).getField("level"))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
     return s.select("source", "source_size", "source_rank", target.alias("target"))
 
@@ -118,7 +118,7 @@ def mixed(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     aim = aim.withColumn("knots", knots_of(schedules, F.col("source_rank")))
     plan = totals.withColumn("start", start).alias("t").join(aim.alias("a"), F.col("t.source").eqNullSafe(F.col("a.source"))).select(F.col("t.source").alias("of"), F.col("t.block").alias("part"), "start", "source_size", "target", "knots")
     plan = materialize(plan, "mix")
-    within = Window.partitionBy("source", "block").orderBy("key", F.col("doc.doc_id"), tie).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "block").orderBy(place, "key", F.col("doc.doc_id"), tie).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     d = d.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("part")))
     d = d.withColumn("before", F.col("before") + F.col("start"))
