@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from copy import copy
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,16 @@ class Pipeline:
                 made[n] = n.track(*[made[i] for i in n.inputs])
         return made[node or self.sink]
 
+    def reading(self, stored: Mapping[Node, Source]) -> Pipeline:
+        """The same pipeline with some nodes replaced by sources that hold their results."""
+        made: dict[Node, Node] = {}
+        for n in self.nodes:
+            made[n] = stored.get(n, n)
+            if n not in stored and n.inputs:
+                made[n] = copy(n)
+                made[n].inputs = tuple(made[i] for i in n.inputs)
+        return Pipeline(self.spark, made[self.sink])
+
     def unique_keys(self) -> dict[Node, set[frozenset[str]]]:
         """Unique keys of every node, from those that sources declare."""
         out: dict[Node, set[frozenset[str]]] = {}
