@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,15 +36,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder, if Spark still runs."""
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    try:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM went first; the folder's owner cleans up
-        return
+    """Delete a path of the shared folder; through Spark, or, once it has stopped, if the path is a local one."""
+    context = spark.sparkContext
+    if context._jsc is not None:
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+    elif path.startswith("file:"):
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

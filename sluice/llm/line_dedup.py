@@ -23,21 +23,27 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    """A line without ASCII white space at its ends and with A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
+def key_of(bare: Column) -> Column:
+    """The key of a line that has no ASCII white space at its ends: A-Z in lower case."""
+    # Lowering is much faster than translating, and the same for lines of ASCII only.
+    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def hash_of(line: Column, least: int) -> Column:
-    """MD5 of the line's key; null for keys of fewer than `least` code points, which never count."""
-    return F.when(F.length(key_of(line)) >= least, F.md5(key_of(line).cast("binary")))
+def hashed_lines(text: Column, least: int) -> Column:
+    """An array of (line, hash) for a text's lines: the MD5 of the line's key, null for keys of fewer than `least` code points, which never count.
+
+    In steps, so that each line's parts are made once.
+    """
+    bare = F.transform(lines_of(text), lambda x: F.struct(x.alias("line"), F.btrim(x, F.lit(SPACES)).alias("bare")))
+    keyed = F.transform(bare, lambda x: F.struct(x["line"].alias("line"), key_of(x["bare"]).alias("key")))
+    return F.transform(keyed, lambda x: F.struct(x["line"].alias("line"), F.when(F.length(x["key"]) >= least, F.md5(x["key"].cast("binary"))).alias("hash")))
 
 
 #: So many frequent lines, 16 bytes each, are looked up within a row; for more, documents are joined with their frequent lines.
 MOST_IN_ROW = 20_000
 
 
-def holds(frequent: DataFrame, n: int, hex_hash: Column) -> Column:
+def holds(frequent: DataFrame, n: int, line: Column) -> Column:
     """Whether one of the n frequent lines has this hash, found in a constant table of buckets of equal width."""
     buckets = 1 << max(0, (n // 2).bit_length())
     place = lambda line: F.xxhash64(line).bitwiseAND(F.lit(buckets - 1)).cast("int")
@@ -46,7 +52,6 @@ def holds(frequent: DataFrame, n: int, hex_hash: Column) -> Column:
         table[r["at"]].append(bytes(r["line"]))
     width = 16 * max(map(len, table))
     constant = F.lit(b"".join(b"".join(sorted(x)).ljust(width, b"\0") for x in table))
-    line = F.unhex(hex_hash)
     return F.coalesce(F.contains(F.substring(constant, place(line) * width + 1, F.lit(width)), line), F.lit(False))
 
 
@@ -100,7 +105,7 @@ def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int =
     text = F.col(f"doc.{text_col}").cast("string")
     docs = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
     docs = docs.withColumn("id", F.col("doc.doc_id")).withColumn("text_hash", F.xxhash64(text)).withColumn("text", text)
-    hashes = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("text")), lambda x: hash_of(x, least))))
+    hashes = F.array_distinct(F.array_compact(F.transform(hashed_lines(F.col("text"), least), lambda x: x["hash"])))
     held = docs.select("id", "text_hash", F.pmod(F.xxhash64("id", "text_hash"), F.lit(batches)).alias("batch"), F.explode(hashes).alias("hex"))
     held = held.select("id", "text_hash", "batch", F.unhex("hex").alias("line"))
     counts = materialize(held.groupBy("batch", "line").agg(F.count(F.lit(1)).alias("n_docs")), "lines")
@@ -109,13 +114,19 @@ def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int =
         runs.add(counts.filter(F.col("batch") == b).select("line", "n_docs"))
     frequent = materialize(runs.frequent(), "frequent")
     lines, n = lines_of(F.col("text")), frequent.count()
-    if n <= MOST_IN_ROW:
-        out = docs.withColumn("stay", F.filter(lines, lambda x: ~holds(frequent, n, hash_of(x, least)))) if n else docs.withColumn("stay", lines)
+    binary = F.transform(hashed_lines(F.col("text"), least), lambda x: F.struct(x["line"].alias("line"), F.unhex(x["hash"]).alias("hash")))
+    if not n:
+        out = docs.withColumn("stay", lines)
+    elif n <= MOST_IN_ROW:
+        out = docs.withColumn("stay", F.transform(F.filter(binary, lambda x: ~holds(frequent, n, x["hash"])), lambda x: x["line"]))
     else:
         drops = held.join(frequent, "line", "left_semi").groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.collect_set("line").alias("drops"))
         out = docs.join(materialize(drops, "drops"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
-        out = out.withColumn("stay", F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("drops"), F.unhex(hash_of(x, least))), F.lit(False)))))
-    made = F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("stay")).cast("long").alias("n_dropped"), F.array_join("stay", "\n").alias("kept"))
+        stay = F.transform(F.filter(binary, lambda x: ~F.coalesce(F.array_contains(F.col("drops"), x["hash"]), F.lit(False))), lambda x: x["line"])
+        out = out.withColumn("stay", F.when(F.col("drops").isNull(), lines).otherwise(stay))
+    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.coalesce(n_lines, F.lit(1))
+    made = F.struct(n_lines.cast("long").alias("n_lines"), (n_lines - F.size("stay")).cast("long").alias("n_dropped"), F.array_join("stay", "\n").alias("kept"))
     return out.select(*[F.col("doc").getField(c).alias(c) for c in names], made.alias("lines"))
 
 

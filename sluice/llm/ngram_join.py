@@ -379,7 +379,8 @@ def keep_one(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: float =
     rows, classes = classes_and_rows(df, ratio, tolerance)
     gone = rows.join(classes.filter("group_size > 1"), "digest").filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash"))
     gone = materialize(gone.distinct(), "gone")
-    hashed = df.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
+    # The document in one column, so that none of its own can clash with ours.
+    hashed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__own"))
     may, stay = split_by_filter(hashed, "__own", gone, "__hash") or (hashed, None)
-    left = may.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__own") == F.col("__hash")), "left_anti")
-    return (left if stay is None else left.unionByName(stay)).drop("__own")
+    left = may.join(gone, (F.col("__id") == F.col("__gone")) & (F.col("__own") == F.col("__hash")), "left_anti")
+    return (left if stay is None else left.unionByName(stay)).select(*[F.col("doc").getField(c).alias(c) for c in df.columns])

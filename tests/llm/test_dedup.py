@@ -32,6 +32,11 @@ def test_exact(request, which):
     assert exact_dedup.drop_copies(df).columns == df.columns
 
 
+def test_no_rows(none):
+    assert exact_dedup.exact_dedup(none).collect() == [] and exact_dedup.drop_copies(none).collect() == []
+    assert line_dedup.dedup_lines(none).collect() == []
+
+
 def test_exact_with_a_crowded_filter(spark, docs, monkeypatch):
     monkeypatch.setattr(exact_dedup, "filter_bits", lambda rows, per_row=16: 4)
     assert exact_dedup.exact_dedup(docs).filter("kept").count() == docs.select("text").distinct().count()
