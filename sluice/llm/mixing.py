@@ -79,7 +79,7 @@ def knots_of(schedules: Sequence[Sequence[tuple[float, float]]], rank: Column) -
     return out
 
 
-def mixed(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, schedules: Sequence = SCHEDULES, whole: bool = False, size_col: str | None = None, seed: int = 17, rows_a_block: int = 4096) -> DataFrame:
+def mixed(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, schedules: Sequence = SCHEDULES, whole: bool = False, size_col: str | None = None, seed: int = 17, rows_a_block: int = 1024) -> DataFrame:
     """df with mix (struct): size, source_size, target, taken, copies, position, repeat_position.
 
     Within a source the documents stand in an order fixed by the seed, end to end and
