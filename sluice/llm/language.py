@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_of_id, materialize, mix, text_slices
+from .common import as_bytes, crc_of_id, in_arrow, materialize, mix, text_slices
 
 GRAM = 4
 LETTER = re.compile(r"[^\W\d_]")
@@ -134,7 +134,7 @@ def fit(df: DataFrame, held_out, most: int = 20_000, most_grams: int = 100_000,
                     gram, n = np.unique(own, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = few.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = few.transform(in_arrow, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sampled = {k: max(1.0, have[k] * v) for k, v in shares.items()}
     of = F.create_map(*[F.lit(x) for k, v in sampled.items() for x in (k, float(v))])
     rate = F.col("n") / of[F.col("lang")]
@@ -178,4 +178,4 @@ def language(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 3 == 1,
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, len(texts)) for c in ("doc_id", "held_out")], pa.array(names, pa.string()), pa.array(score), pa.array(margin)], ["doc_id", "held_out", "lang_pred", "score", "margin"])
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, margin double")
+    return rows.transform(in_arrow, run, "doc_id long, held_out boolean, lang_pred string, score double, margin double")

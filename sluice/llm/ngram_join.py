@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, as_bytes, materialize, mix, partitions, split_by_filter, text_slices
+from .common import Codes, as_bytes, in_arrow, materialize, mix, partitions, split_by_filter, text_slices
 
 WORDS_A_SHINGLE = 5
 #: Bands of four 16-bit MinHash values, each band one 64-bit word. At similarity 0.8 a pair
@@ -35,7 +35,7 @@ class Shingles:
     """64-bit hashes of the shingles of texts, by cached hashes of their words."""
 
     def __init__(self) -> None:
-        self.codes, self.hashes = Codes(600_000), np.zeros(0, np.uint64)
+        self.codes, self.hashes = Codes(300_000), np.zeros(0, np.uint64)
 
     def of(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(shingle hashes of all texts end to end, number for each text), repeats included.
@@ -43,7 +43,7 @@ class Shingles:
         A text of fewer words than a shingle has one, of all its words; one without words none.
         """
         if self.codes.full:
-            self.codes, self.hashes = Codes(600_000), np.zeros(0, np.uint64)
+            self.codes, self.hashes = Codes(300_000), np.zeros(0, np.uint64)
         split = [x.split() if x else [] for x in texts]
         n = np.fromiter(map(len, split), np.int64, len(split))
         codes = self.codes.of([w for s in split for w in s])
@@ -200,7 +200,7 @@ def described(df: DataFrame) -> DataFrame:
                     ["doc_id", "text_hash", "digest", "shingles", "sig"])
 
     text = F.col("text").cast("string")
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, digest binary, shingles int, sig array<long>")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).transform(in_arrow, run, "doc_id long, text_hash long, digest binary, shingles int, sig array<long>")
 
 
 def blocked(members: DataFrame, keys: list[str], blocks) -> DataFrame:
@@ -232,7 +232,7 @@ def candidate_edges(classes: DataFrame, threshold: float, tolerance: float) -> D
                 some = np.flatnonzero(label != np.arange(len(node)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]])], ["a", "b"])
 
-    out = blocked(members.select("band", "word", "node", "sig", "n"), ["band", "word"], F.ceil(F.col("n") / BLOCK)).select(*keys, "side", "node", "sig").mapInArrow(run, "a long, b long")
+    out = blocked(members.select("band", "word", "node", "sig", "n"), ["band", "word"], F.ceil(F.col("n") / BLOCK)).select(*keys, "side", "node", "sig").transform(in_arrow, run, "a long, b long")
     return materialize(out.distinct(), "candidates")
 
 
@@ -300,7 +300,7 @@ def verified(df: DataFrame, groups: DataFrame, ratio: tuple[int, int]) -> DataFr
                 sets = [np.unique(hashes[e - n : e]).tobytes() for e, n in zip(ends, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, len(texts)) for c in ("node", "label", "size", "blocks")], pa.array(sets, pa.binary())], ["node", "label", "size", "blocks", "set"])
 
-    members = read.mapInArrow(shingle, "node long, label long, size long, blocks long, set binary")
+    members = read.transform(in_arrow, shingle, "node long, label long, size long, blocks long, set binary")
     keys = ["label", "s", "t"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +328,7 @@ def verified(df: DataFrame, groups: DataFrame, ratio: tuple[int, int]) -> DataFr
                 some = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[label[some]])], ["node", "links", "root"])
 
-    out = blocked(members, ["label"], F.col("blocks")).select(*keys, "side", "node", "size", "set").mapInArrow(run, "node long, links long, root long")
+    out = blocked(members, ["label"], F.col("blocks")).select(*keys, "side", "node", "size", "set").transform(in_arrow, run, "node long, links long, root long")
     return materialize(out, "links")
 
 

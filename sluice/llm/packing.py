@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, mix, partitions, text_slices
+from .common import as_bytes, in_arrow, materialize, mix, partitions, text_slices
 from .tokens import cached
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, hilbert_key long"
@@ -86,7 +86,7 @@ def tokenized(df: DataFrame, vocab: str, end_id: int, dims: int = 4, bits: int =
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": batch.column("doc_id").slice(lo, len(texts)), "hilbert_key": pa.array(key, pa.int64()), "n": pa.array(lengths + 1, pa.int64()), "ids": pa.array(blobs, pa.binary())})
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, hilbert_key long, n long, ids binary")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow, run, "doc_id long, hilbert_key long, n long, ids binary")
 
 
 def word_hashes(words, codes: np.ndarray) -> np.ndarray:
@@ -187,4 +187,4 @@ def pack(df: DataFrame, vocab: str, size: int = 2048, end_id: int = 1) -> DataFr
         cut.finish()
         yield cut.take()
 
-    return by_curve.mapInArrow(run, PIECES)
+    return by_curve.transform(in_arrow, run, PIECES)

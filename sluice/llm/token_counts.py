@@ -18,7 +18,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, partitions, scratch_path, text_slices
+from .common import as_bytes, in_arrow, materialize, partitions, scratch_path, text_slices
 from .tokens import cached
 
 
@@ -64,7 +64,7 @@ def write_token_files(df: DataFrame, folder: str, vocab: str, end_id: int, dtype
             yield close()
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "file string, bytes long, ordinal long, doc_id long"), "manifest")
+    return materialize(rows.transform(in_arrow, run, "file string, bytes long, ordinal long, doc_id long"), "manifest")
 
 
 def separators(files: DataFrame, end_id: int, dtype: str, block_bytes: int) -> DataFrame:
@@ -84,7 +84,7 @@ def separators(files: DataFrame, end_id: int, dtype: str, block_bytes: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at // step], pa.int64()), pa.array([len(data) // width], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], ["file", "block", "tokens", "ends"])
 
     dealt = blocks.repartition(partitions(files.sparkSession), "file", "at")
-    return materialize(dealt.mapInArrow(run, "file string, block long, tokens long, ends array<long>"), "separators")
+    return materialize(dealt.transform(in_arrow, run, "file string, block long, tokens long, ends array<long>"), "separators")
 
 
 def count_tokens(files: DataFrame, end_id: int, dtype: str = "<u2", block_bytes: int = 4 << 20) -> DataFrame:

@@ -30,7 +30,7 @@ class WordTokens:
     then encoded on its own anyway. The cache forgets all beyond `most` words.
     """
 
-    def __init__(self, path: str, plain: bool = False, most: int = 600_000):
+    def __init__(self, path: str, plain: bool = False, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
