@@ -65,6 +65,10 @@ class Node:
         """
         raise NotImplementedError
 
+    def required(self, i: int) -> bool:
+        """Whether every output row is made from at least one row of input i."""
+        return True
+
     def updated(self) -> frozenset[str]:
         """Columns that the operator makes or overwrites, known from the operator and not from schemas."""
         return frozenset()

@@ -95,6 +95,9 @@ class Join(Node):
             pushes.append(Push(local.substitute(back), status, reason, prune.substitute(back)))
         return pushes
 
+    def required(self, i):
+        return self.how == "inner" or self.how == ("left", "right")[i]
+
     def keys(self, keys, columns):
         ln, rn = self.names(columns)
         left = {frozenset(ln[c] for c in k) for k in keys[0]}
@@ -147,6 +150,9 @@ class SemiJoin(Node):
 
     anti = False
 
+    def required(self, i):
+        return i == 0 or not self.anti
+
     def __init__(self, left: Node, right: Node, cols_left: Sequence[str], cols_right: Sequence[str] | None = None, condition: Expr | None = None):
         super().__init__(left, right)
         self.on = list(zip(cols_left, cols_right or cols_left, strict=True))
@@ -239,6 +245,9 @@ class Append(Node):
     def push(self, f, columns, out):
         return [Push(simplify(f.substitute({c: Lit(None) for c in out if c not in own}))) for own in columns]
 
+    def required(self, i):
+        return len(self.inputs) == 1
+
     def keys(self, keys, columns):
         return keys[0] if len(keys) == 1 else set()
 
@@ -285,8 +294,8 @@ class Combine(Node):
         exact = set(self.on) <= pinned(f)
         return [Push(key, Status.EXACT if exact else Status.SUPERSET, "" if exact else "Combine: the alignment is not fixed")] * 2
 
-    def updated(self):
-        return frozenset()
+    def required(self, i):
+        return False
 
     def keys(self, keys, columns):
         return {frozenset(self.on)}

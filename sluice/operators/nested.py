@@ -193,6 +193,9 @@ class CrosstableUDF(Node):
     def track(self, left, *tables):
         return self._build(left, tables, True)
 
+    def required(self, i):
+        return i == 0
+
     def updated(self):
         return frozenset({self.new_col})
 
@@ -326,6 +329,9 @@ class CogroupedMap(Node):
     def push(self, f, columns, out):
         return [group_push(self, f, self.by, out)] * 2
 
+    def required(self, i):
+        return False
+
     def keys(self, keys, columns):
         return set()
 

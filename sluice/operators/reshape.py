@@ -58,6 +58,9 @@ class Pivot(Node):
         exact = set(self.index) <= pinned(f) or f.columns() <= set(self.index)
         return [Push(simplify(And(key, InSet(Field(self.header), tuple(self.values)))), Status.EXACT if exact else Status.SUPERSET, "" if exact else "Pivot: an index column is not fixed", key)]
 
+    def required(self, i):
+        return False  # a row may be there for other header values only
+
     def keys(self, keys, columns):
         return {frozenset(self.index)}
 
