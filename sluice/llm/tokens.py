@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from itertools import islice
 
 import numpy as np
@@ -11,7 +12,7 @@ import numpy as np
 from .common import Codes
 
 #: A run of punctuation that ends a word, after a letter.
-TAIL = re.compile(rb"(?<=[a-z])[.,;:!?*#$%&|)(\]\[\"/-]+\Z")
+TAIL = re.compile(rb"(?<=[a-z\x80-\xff])[.,;:!?*#$%&|)(\]\[\"/-]+\Z")
 
 _CACHES: dict[tuple[str, bool], "WordTokens"] = {}
 
@@ -30,7 +31,7 @@ class WordTokens:
     then encoded on its own anyway. The cache forgets all beyond `most` words.
     """
 
-    def __init__(self, path: str, plain: bool = False, most: int = 400_000):
+    def __init__(self, path: str, plain: bool = False, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -53,28 +54,33 @@ class WordTokens:
         A word that ends in a letter and then punctuation is put together from the ids of
         its two parts, between which the tokenizer splits anyway.
         """
-        first, whole, joined = self.known, [], []
-        for code, word in enumerate(list(islice(reversed(self.codes), len(self.codes) - first))[::-1], first):
-            if at := TAIL.search(word):
-                joined.append((code, self.codes[word[: at.start()]], self.codes[word[at.start() :]]))
+        first, whole, joined, codes = self.known, [], [], self.codes
+        newest = list(islice(reversed(codes), len(codes) - first))
+        newest.reverse()
+        for code, word in enumerate(newest, first):
+            if (at := TAIL.search(word)) and (word[at.start() - 1] < 128 or _ends_as_letter(word[: at.start()])):
+                joined.append((code, codes[word[: at.start()]], codes[word[at.start() :]]))
             else:
-                whole.append((code, word))
-        for code, word in enumerate(list(islice(reversed(self.codes), len(self.codes) - first - len(whole) - len(joined)))[::-1], first + len(whole) + len(joined)):
-            whole.append((code, word))
-        self.known = len(self.codes)
+                whole.append((code, word.decode("utf-8", "replace")))
+        parts = list(islice(reversed(codes), len(codes) - first - len(newest)))
+        parts.reverse()
+        whole += [(code, word.decode("utf-8", "replace")) for code, word in enumerate(parts, first + len(newest))]
+        self.known = len(codes)
         self.starts, self.lengths = _room(self.starts, self.known), _room(self.lengths, self.known)
-        simple = [x for x in whole if x[1].isalpha() and x[1].islower()] if self.ends.any() else []
-        for i in range(0, len(simple), 500):  # ASCII letters only: one token list each, told apart by its end-of-word token
-            part = simple[i : i + 500]
-            ids = np.array(self.tokenizer.encode(b" ".join(w for _, w in part).decode(), add_special_tokens=False).ids, np.uint32)
+        letters = [x for x in whole if x[1].isalpha()] if self.ends.any() else []
+        others = [x for x in whole if not x[1].isalpha()] if letters else whole
+        for i in range(0, len(letters), 500):
+            # Words of letters are one piece each, told apart by its end-of-word token; if one isn't, the numbers differ.
+            part = letters[i : i + 500]
+            ids = np.array(self.tokenizer.encode(" ".join([w for _, w in part]), add_special_tokens=False).ids, np.uint32)
             last = np.flatnonzero(self.ends[ids])
-            self._store(np.array([c for c, _ in part]), ids, np.diff(last, prepend=-1))
-        if simple:
-            known = {c for c, _ in simple}
-            whole = [x for x in whole if x[0] not in known]
-        for i in range(0, len(whole), 500):
-            part = whole[i : i + 500]
-            e = self.tokenizer.encode([w.decode("utf-8", "replace") for _, w in part], is_pretokenized=True, add_special_tokens=False)
+            if len(last) == len(part) and last[-1] == len(ids) - 1:
+                self._store(np.array([c for c, _ in part]), ids, np.diff(last, prepend=-1))
+            else:
+                others += part
+        for i in range(0, len(others), 500):
+            part = others[i : i + 500]
+            e = self.tokenizer.encode([w for _, w in part], is_pretokenized=True, add_special_tokens=False)
             self._store(np.array([c for c, _ in part]), np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
         if joined:
             made = np.array(joined)
@@ -110,6 +116,11 @@ class WordTokens:
         return self.flat[at], np.diff(edge)
 
 
+def _ends_as_letter(word: bytes) -> bool:
+    """Whether the last character is a letter still when it is composed and lowered, so that punctuation after it is a piece of its own."""
+    return unicodedata.normalize("NFC", word.decode("utf-8", "replace")[-1]).lower().isalpha()
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     if n <= len(a):
         return a
