@@ -41,6 +41,8 @@ class WordTokens:
         if suffix:
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
         self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
+        # Special tokens are looked for before the tokenizer lowers, so in their own case only.
+        self.specials = [] if plain else [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -99,13 +101,21 @@ class WordTokens:
         if len(self.codes) > self.most:
             self._clear()
         # A-Z are lowered by the tokenizer too; with combining marks about, it must compose first.
-        split = [(x.lower() if self.lowers and b"\xcc" not in x else x).split() if x else [] for x in texts]
+        split = [(self._lower(x) if self.lowers and b"\xcc" not in x else x).split() if x else [] for x in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         codes = self.codes.of([w for s in split for w in s])
         if len(self.codes) > self.known:
             self._learn()
         return codes, counts
 
+    def _lower(self, text: bytes) -> bytes:
+        """The text in lower case, or as it is if that could make a special token of it."""
+        low = text.lower()
+        for s in self.specials:
+            if s in low:
+                return text
+        return low
+
     def gather(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each text)."""
         lengths = self.lengths[codes]

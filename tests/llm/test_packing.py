@@ -72,3 +72,15 @@ def test_cached_words_give_the_tokenizers_ids(most):
         ids, n = words.gather(*words.words([x.encode() for x in part]))
         for x, end, k in zip(part, np.cumsum(n), n, strict=True):
             assert ids[end - k : end].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_special_tokens_are_matched_in_their_own_case_only(plain):
+    rng = np.random.default_rng(1)
+    pieces = [*"aZ.é \n", "Word.", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>", "\u0301"]
+    texts = ["<|ENDOFTEXT|>", "a Word. <|ENDOFTEXT|>B, c", *["".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(500)]]
+    words, t = WordTokens(VOCAB, plain), Tokenizer.from_file(VOCAB)
+    t.encode_special_tokens = plain
+    ids, n = words.gather(*words.words([x.encode() for x in texts]))
+    for x, end, k in zip(texts, np.cumsum(n), n, strict=True):
+        assert ids[end - k : end].tolist() == t.encode(x, add_special_tokens=False).ids
