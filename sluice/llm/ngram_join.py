@@ -332,7 +332,7 @@ def verified(df: DataFrame, groups: DataFrame, ratio: tuple[int, int]) -> DataFr
     return materialize(out, "links")
 
 
-def classes_and_rows(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+def classes_and_rows(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, digest of every row; digest, class_id, n_links, group_size of every class)."""
     rows = materialize(described(df), "shingles")
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(
@@ -351,7 +351,7 @@ def classes_and_rows(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance:
     return rows.select("doc_id", "text_hash", "digest"), materialize(out, "classes")
 
 
-def jaccard_join(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: float = 1e-6) -> DataFrame:
+def jaccard_join(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: float = 1e-9) -> DataFrame:
     """One row for each row of df (doc_id, text): doc_id, class_id, n_links, group_size.
 
     Shingles are five words in a row, words being runs of other than ASCII white space;
@@ -371,7 +371,7 @@ def jaccard_join(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: floa
     return out.select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
 
 
-def keep_one(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: float = 1e-6) -> DataFrame:
+def keep_one(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: float = 1e-9) -> DataFrame:
     """df without the documents whose component holds a smaller doc_id; df's columns as they are.
 
     Rows that a filter of those hashes lets pass are not shuffled. Rows with a null doc_id stay, and so do rows that repeat the id that stays.

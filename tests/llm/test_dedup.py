@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import itertools
+import math
 from collections import Counter
 
 import numpy as np
@@ -142,6 +144,18 @@ def test_pruning_keeps_likely_pairs():
     assert kept > 0.9999 and (rng.binomial(96, 0.4, 10_000) >= need[96]).mean() < 0.01
 
 
+@pytest.mark.parametrize("run", [ngram_join.jaccard_join, ngram_join.keep_one])
+def test_pruning_loses_few_pairs_over_all_its_steps(run):
+    need = ngram_join.least_matches(0.8, inspect.signature(run).parameters["tolerance"].default)
+    step = [math.comb(ngram_join.LANES, k) * 0.8**k * 0.2 ** (ngram_join.LANES - k) for k in range(ngram_join.LANES + 1)]
+    left, lost = np.array([1.0]), 0.0  # left[m]: the share of pairs still there with m matches
+    for w in range(1, ngram_join.BANDS + 1):
+        left = np.convolve(left, step)
+        lost += left[: need[ngram_join.LANES * w]].sum()
+        left[: need[ngram_join.LANES * w]] = 0
+    assert left.sum() + lost == pytest.approx(1) and lost < 1e-7
+
+
 def windows_brute(rows, templates, contained=0.8):
     import re
 
