@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
+import numpy as np
 import pytest
 from compare import duck, normal
+from pyspark.sql import functions as F
+from test_dedup import brute
+from test_mixing import fill, words
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sluice.llm import queries
@@ -46,3 +54,44 @@ def test_pipeline_stages(spark, small, docs):
         assert frame.schema.names == docs.schema.names
     whole = corpus_pipeline.run(spark, small).groupBy("sequence_id").sum("length").collect()
     assert all(r[1] <= 2048 for r in whole)
+
+
+def mixed_by_hand(spark, rows):
+    """How often the mix takes each of rows, whole: the sources' targets filled in the order of the seed, twice at most."""
+    ids = spark.createDataFrame([(r.doc_id,) for r in rows], "doc_id long")
+    key = {r.doc_id: r.key for r in ids.select("doc_id", F.xxhash64(F.lit(17), F.col("doc_id").cast("string")).alias("key")).collect()}
+    assert len(key) == len(rows)
+    sizes, times, at = {}, Counter(), Counter()
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + words(r.text)
+    target = fill(sizes)
+    order = sorted(rows, key=lambda r: (key[r.doc_id] % 2**64 >> 44, key[r.doc_id]))
+    for r in order + order:
+        n = words(r.text)
+        if n and 2 * at[r.source] + n <= 2 * target[r.source]:
+            times[r] += 1
+        at[r.source] += n
+    return times
+
+
+def test_pipeline_stages_by_hand(spark, small, docs):
+    kept = corpus_pipeline.rules(spark, docs, small).cache()
+    rows = kept.collect()
+    assert rows and not Counter(rows) - Counter(docs.collect())
+    last = {}
+    for r in rows:
+        last[r.text] = max(last.get(r.text, r), r, key=lambda x: x.doc_id)
+    once = corpus_pipeline.exact(spark, kept, small).cache()
+    assert Counter(once.collect()) == Counter(last.values())
+    low = {x[1] for x in brute(once.collect())}
+    apart = corpus_pipeline.near(spark, once, small).cache()
+    assert Counter(apart.collect()) == Counter(r for r in last.values() if r.doc_id in low)
+    times = mixed_by_hand(spark, apart.collect())
+    assert Counter(corpus_pipeline.mix(spark, apart, small).collect()) == times and max(times.values()) == 2
+    t, covered = Tokenizer.from_file(queries.VOCAB), {}
+    ids = {r.doc_id: np.array([*t.encode(r.text, add_special_tokens=False).ids, 1], "<u4") for r in times}
+    for r in corpus_pipeline.run(spark, small).collect():
+        x, part = ids[r.doc_id], slice(r.start, r.start + r.length)
+        assert r.doc_tokens == len(x) and r.ids_crc32 == zlib.crc32(x[part].tobytes())
+        covered.setdefault(r.doc_id, np.zeros(len(x), int))[part] += 1
+    assert {i: set(n) for i, n in covered.items()} == {r.doc_id: {n} for r, n in times.items()}
