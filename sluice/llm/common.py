@@ -76,6 +76,16 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def least_hash(share: float) -> int:
+    """The 64-bit hash below which the given share of all hashes lies; exact for shares far below one in 2**20."""
+    return min(2**63 - 1, int(share * 2**64) - 2**63)
+
+
+def sampled(share: float, *columns: str) -> Column:
+    """Whether a row is in a sample of the given share, by a 64-bit hash of the columns."""
+    return F.lit(True) if share >= 1 else F.xxhash64(*columns) < F.lit(least_hash(share))
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     """A text column of a batch as UTF-8 bytes, without copying."""
     if isinstance(column, pa.ChunkedArray):
