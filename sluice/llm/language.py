@@ -8,7 +8,6 @@ false positives, and the highest decides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,17 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_of_id, in_arrow, materialize, mix, text_slices
+from .common import as_bytes, crc_of_id, in_arrow, least_hash, materialize, mix, text_slices
 
 GRAM = 4
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def lettered(text: bytes | None) -> bool:
+    """Whether a text holds a letter, that is a character of Unicode category L."""
+    return bool(text) and any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 def _folded() -> np.ndarray:
-    """For each code point of the basic plane: its lower case if a letter, else a space."""
-    out = np.full(1 << 16, 32, np.uint32)
-    for c in range(1 << 16):
+    """For each code point: its lower case if a letter, else a space."""
+    out = np.full(0x110000, 32, np.uint32)
+    for c in range(0x110000):
         if chr(c).isalpha():
             low = chr(c).lower()
             out[c] = ord(low) if len(low) == 1 else c
@@ -51,7 +54,7 @@ def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
     for u, e in zip(whole, ends, strict=True):
         chars[e - 1 - len(u) : e - 1] = u
-    low = np.where(chars < 1 << 16, FOLDED[0][np.minimum(chars, (1 << 16) - 1)], chars)
+    low = FOLDED[0][chars]
     of = np.repeat(np.arange(len(texts)), sizes)
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 32) | (low[:-1] != 32) | (of[1:] != of[:-1])
@@ -106,30 +109,30 @@ class Filters:
         return out
 
 
-def fit(df: DataFrame, held_out, most: int = 20_000, most_grams: int = 100_000, least: float = 0.002, beside: float = 0.25) -> Filters | None:
+def fit(df: DataFrame, held_out, most: int = 20_000, least: float = 0.002, beside: float = 0.25) -> Filters | None:
     """Filters from about `most` labelled rows, in equal parts from the languages; None if no row has one.
 
     A language holds the n-grams found in 2 of its sampled documents or more, in the
     share `least` of them, and in no less than `beside` times the share that any other
-    language has; `most_grams` of the most frequent at most.
+    language has. As the shares add up to the distinct n-grams of an average document,
+    there are that many over `least` at most, however large the corpus. Repeated rows
+    are sampled alike.
     """
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     have = {r.lang: r["count"] for r in df.filter(usable).groupBy("lang").count().collect()}
     if not have:
         return None
     shares = {k: min(1.0, most / len(have) / n) for k, n in have.items()}
-    names = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, int(v * (1 << 20)))])
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    few = df.filter(usable).filter(part < names[F.col("lang")]).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    bounds = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, least_hash(v))])
+    few = df.filter(usable).filter(F.xxhash64("doc_id", "text") <= bounds[F.col("lang")]).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lo, texts in text_slices(as_bytes(batch.column("text"))):
                 keys, sizes = grams(texts)
-                of = langs[lo : lo + len(texts)]
+                of, mine = langs[lo : lo + len(texts)], [np.unique(k) for k in np.split(keys, np.cumsum(sizes)[:-1])]
                 for name in set(of):
-                    mine = [np.unique(k) for k in np.split(keys, np.cumsum(sizes)[:-1])]
                     own = np.concatenate([k for k, x in zip(mine, of, strict=True) if x == name])
                     gram, n = np.unique(own, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
@@ -139,10 +142,8 @@ def fit(df: DataFrame, held_out, most: int = 20_000, most_grams: int = 100_000,
     of = F.create_map(*[F.lit(x) for k, v in sampled.items() for x in (k, float(v))])
     rate = F.col("n") / of[F.col("lang")]
     top = F.max("rate").over(Window.partitionBy("gram"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     kept = materialize(counted, "grams").withColumn("rate", rate).withColumn("top", top).filter((F.col("n") >= 2) & (F.col("rate") >= least) & (F.col("rate") >= beside * F.col("top")))
-    kept = kept.withColumn("rank", rank).filter(F.col("rank") <= most_grams)
-    found = kept.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # most_grams for each language at most
+    found = kept.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # bounded by the sample, see above
     keys = {r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in found}
     return Filters.build({k: keys.get(k, np.zeros(0, np.uint64)) for k in have})
 
@@ -152,7 +153,7 @@ def language(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 3 == 1,
 
     Only the text enters a prediction; lang is learned from, where it is not null and
     the row is not held out. lang_pred is `und` with score 0 for a text that is null or
-    has no letter, and where nothing could be learned. score is the winner's share of
+    has no letter (Unicode category L), and where nothing could be learned. score is the winner's share of
     the corrected counts, margin its lead over the second. A text without a known
     n-gram gets the first language by code point and score 0; ties go to it too.
 
@@ -165,16 +166,16 @@ def language(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 3 == 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in text_slices(as_bytes(batch.column("text"))):
-                lettered = np.array([bool(x) and bool(LETTER.search(x.decode("utf-8", "replace"))) for x in texts])
+                some = np.array([lettered(x) for x in texts])
                 names, score, margin = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 if filters:
                     share = filters.counts(*grams(texts))
                     total, best = share.sum(axis=1), share.argmax(axis=1)
                     top = np.sort(share, axis=1)[:, ::-1]
-                    known = lettered & (total > 0)
+                    known = some & (total > 0)
                     score[known] = top[known, 0] / total[known]
                     margin[known] = top[known, 0] - (top[known, 1] if share.shape[1] > 1 else 0)
-                    names = [filters.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
+                    names = [filters.languages[b] if ok else UNKNOWN for b, ok in zip(best, some, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, len(texts)) for c in ("doc_id", "held_out")], pa.array(names, pa.string()), pa.array(score), pa.array(margin)], ["doc_id", "held_out", "lang_pred", "score", "margin"])
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))

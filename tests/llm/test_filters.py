@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import language, quality, toxicity
 from sluice.llm.common import least_hash, sampled
@@ -155,3 +156,53 @@ def test_shares_of_samples_in_64_bits(spark):
         assert abs(n - share * 200_000) < 5 * (share * 200_000) ** 0.5
     assert ids.filter(sampled(1.0, "id")).count() == 200_000
     assert least_hash(2.0**-30) - least_hash(0.0) == 2**34 and ids.filter(sampled(2.0**-50, "id")).count() == 0
+
+
+def test_language_needs_letters(spark):
+    rows = [(i, x, None) for i, x in enumerate(("½", "² ① 5", "Ⅷ", "😀😀😀 😀", "123 !?", "_", None, "", " \n"))] + [(20, "ª", None), (21, "𐐀", None), (22, "漢", None), (23, "½ a", None)]
+    rows += [(100 + i, "der die das und nicht ein" if i % 2 else "the and that with for this", "de" if i % 2 else "en") for i in range(60)]
+    got = {r.doc_id: r for r in language.language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i in range(9):
+        assert (got[i].lang_pred, got[i].score) == ("und", 0)
+    for i in (20, 21, 22, 23):
+        assert got[i].lang_pred == "de" and got[i].score == 0  # no known n-gram: the first language
+    assert all(got[100 + i].lang_pred == ("de" if i % 2 else "en") for i in range(60))
+
+
+def test_decision_is_that_of_the_corrected_counts(spark):
+    rng = np.random.default_rng(3)
+    keys = {x: rng.integers(0, 2**63, 400).astype(np.uint64) for x in ("aa", "bb", "cc")}
+    f = language.Filters.build(keys, slots_a_key=4)
+    sizes = np.array([50, 0, 7])
+    own = np.concatenate([rng.choice(keys["bb"], 30), rng.integers(0, 2**63, 20).astype(np.uint64), rng.choice(keys["cc"], 7)])
+    got = f.counts(own, sizes)
+    for row, (lo, hi) in enumerate(((0, 50), (50, 50), (50, 57))):
+        for i in range(3):
+            hits = sum(all(int(f.slots[at, 0]) >> i & 1 for at in (int(p[0]) for p in f.positions(own[k : k + 1]))) for k in range(lo, hi))
+            share = hits / max(1, hi - lo)
+            assert got[row, i] == pytest.approx(max(0, (share - f.false[i]) / (1 - f.false[i])))
+    assert got[0].argmax() == 1 and got[2].argmax() == 2 and not got[1].any()
+
+
+def test_n_grams_are_those_of_letters_and_single_spaces():
+    texts = ["Straße, ÄRGER!!  ab", "x", "", None, "ab cd 12 ½ef", "𐐀𐐁𐐂𐐃 😀"]
+    keys, sizes = language.grams([None if t is None else t.encode() for t in texts])
+    at, seen = 0, {}
+    for t, n in zip(texts, sizes, strict=True):
+        folded = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t or "")
+        padded = " " + " ".join(folded.split()) + " " if folded.split() else " "
+        want = [padded[i : i + 4] for i in range(len(padded) - 3)]
+        want = [g for g in want if g[1] != " " or g[2] != " "]
+        assert n == len(want)
+        for g, k in zip(want, keys[at : at + n], strict=True):
+            assert seen.setdefault(g, k) == k
+        at += n
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_a_sample_of_a_large_corpus_is_not_empty(spark):
+    """A share below 2**-20 still takes rows: the sample is drawn by 64-bit hashes."""
+    rows = [(None, f"the and that with for this {i}", "en") for i in range(2000)] + [(7, f"der die das und nicht ein {i}", "de") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    f = language.fit(df, lambda doc_id: F.lit(False), most=200)
+    assert f.languages == ["de", "en"] and f.slots.any()
