@@ -118,26 +118,27 @@ def test_toxicity_of_odd_texts(odd, labels):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
 
 
-def test_windows_and_distances_are_those_of_whole_compressions(spark):
+def test_windows_and_distances_are_those_of_whole_compressions(spark, monkeypatch):
     d = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
     texts = [[toxicity.folded(r.text.encode()) for r in rows if r.toxic == y] for y in (0, 1)]
     made = toxicity.Dictionaries.train(*texts)
     assert made.ordinary and made.toxic
     distances = toxicity.Distances(made)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 37)
     for text in [*texts[1][:3], *texts[0][:3], b" ab ", b" x" * 9 + b" "]:
         whole = [text[i : i + 16] for i in range(0, max(1, len(text) - 10), 6)]
-        assert toxicity.windows(text) == whole and set(range(len(text))) <= {6 * k + j for k in range(len(whole)) for j in range(16)}
+        assert [text[i : i + 16] for i in toxicity.places(text)] == whole and set(range(len(text))) <= {6 * k + j for k in range(len(whole)) for j in range(16)}
         one, both = toxicity.compressor(made.ordinary), toxicity.compressor(made.ordinary + made.toxic)
         want = []
         for w in whole:
             n, m = len(one.compress(w + toxicity.CARRIER)), len(both.compress(w + toxicity.CARRIER))
             want.append(n - m if n >= made.plain else 0)
-        assert distances.of(text).tolist() == want
+        assert distances.of([b"", text])[0].tolist() == want
         x = distances.features([text])[0]
         assert x[:9] == pytest.approx([np.mean([v >= k for v in want]) ** 0.5 for k in range(1, 10)])
         assert x[9:] == pytest.approx([np.mean(sorted(want)[-3:]), np.mean(want), np.log(len(want))])
-    assert distances.of(b"").tolist() == [] and distances.features([None, b"", b" .,! "]).any() == False  # noqa: E712
+    assert distances.of([b""])[0].tolist() == [] and distances.features([None, b"", b" .,! "]).any() == False  # noqa: E712
 
 
 def test_a_word_of_toxic_text_shortens_its_window():
@@ -146,7 +147,7 @@ def test_a_word_of_toxic_text_shortens_its_window():
     text = lambda extra: toxicity.folded(" ".join([*rng.choice(words, 60), *extra, *rng.choice(words, 60)]).encode())
     made = toxicity.Dictionaries.train([text([]) for _ in range(200)], [text(["zqxwvyk"]) for _ in range(100)])
     distances = toxicity.Distances(made)
-    assert max(distances.of(text(["zqxwvyk"]))) >= 4 > max(distances.of(text(["unheard"])))
+    assert max(distances.of([text(["zqxwvyk"])])[0]) >= 4 > max(distances.of([text(["unheard"])])[0])
 
 
 def test_shares_of_samples_in_64_bits(spark):
