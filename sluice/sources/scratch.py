@@ -9,7 +9,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, and so share every folder."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a temporary folder of this machine where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints/sluice-{os.getuid()}"
+    """A new path below spark.checkpoint.dir; below a temporary folder of this machine where that is unset and Spark runs in one process, as in tests."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    where = where or f"file://{tempfile.gettempdir()}/checkpoints/sluice-{os.getuid()}"
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
