@@ -22,9 +22,11 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); one of our own where that is unset and Spark runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/checkpoints/sluice-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
