@@ -16,29 +16,35 @@ from sluice.llm.queries import VOCAB
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the base rules or the isolation forest reject."""
+    """Without the documents that the base rules or the isolation forest reject; null and empty texts go, repeated rows are judged each."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id."""
+    """Of equal texts, the one with the largest doc_id; null ids are the smallest, a null text equals an empty one."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at Jaccard similarity 0.8, the one with the smallest doc_id."""
+    """Of each group of documents linked at Jaccard similarity 0.8, the one with the smallest doc_id; documents without words or id stay."""
     return ngram_join.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, whole, in training order."""
-    out = mixing.mixed(docs, whole=True)
+    """Each document as often as the mix takes it, whole, in training order.
+
+    Documents without words are never taken; others as in mixing.mixed, with null doc_ids
+    and sources like any other and repeated rows each. A column named mix is kept.
+    """
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), "doc_id", "text", "source")
     times = F.array_compact(F.array("mix.position", "mix.repeat_position"))
-    return mixing.in_training_order(out.withColumn("mix", F.explode(times)), "mix").select(docs.columns)
+    out = mixing.mixed(rows, whole=True).select("doc", "doc_id", F.explode(times).alias("position"))
+    return mixing.in_training_order(out, "position").select(*[F.col("doc").getField(c).alias(c) for c in names])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens along the Hilbert curve."""
+    """Sequences of 2048 tokens along the Hilbert curve; a null or empty text is its end id alone."""
     return packing.pack(docs, VOCAB)
 
 
