@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import Filter, TopN
 from ..operators.base import LINEAGE, RID, Node, Status
 from ..pipeline import Pipeline
-from ..predicate import FALSE, Expr, Lit, any_of, simplify
+from ..predicate import FALSE, And, Expr, Lit, any_of, pinned, simplify
+from ..sources.scratch import stored
 from .pushdown import Pushed, push_down
 from .snapshot import SnapshotStore
 
@@ -40,6 +42,17 @@ class Lineage:
         return {t: s.rows.count() for t, s in self.sources.items()}
 
 
+def without_limits(pipeline: Pipeline, pushed: dict[Node, Pushed]) -> Pipeline:
+    """pipeline with a filter in place of each TopN whose row is fixed.
+
+    Below a limit nothing may be pruned, as other rows decide who is among the first. Of
+    a row that is known to be among them that is decided, so its lineage can be traced
+    through a filter, below which its predicate prunes on.
+    """
+    fixed = {n: Filter(n.inputs[0], pushed[n].predicate) for n in pipeline.nodes if isinstance(n, TopN) and pushed[n].status == Status.EXACT and set(pipeline.columns(n)) <= pinned(pushed[n].predicate)}
+    return pipeline.replacing(fixed) if fixed else pipeline
+
+
 def lineage(pipeline: Pipeline, f: Expr, mode: str = "auto", snapshots: SnapshotStore | None = None, check_exists: bool = True) -> Lineage:
     """The source rows that the result rows selected by f were made from.
 
@@ -55,25 +68,28 @@ def lineage(pipeline: Pipeline, f: Expr, mode: str = "auto", snapshots: Snapshot
         raise ValueError("snapshot mode needs a SnapshotStore")
     if mode == "eager":
         return eager_lineage(pipeline, f)
-    if check_exists and pipeline.frame().filter(f.to_column()).isEmpty():
+    pushed = push_down(pipeline, f, snapshots.known(pipeline, f) if mode == "snapshot" else None)
+    if check_exists and pipeline.pruned({s: pushed[s].prune for s in pipeline.sources}).filter(f.to_column()).isEmpty():
         pushed = {n: Pushed() for n in pipeline.nodes}
-    else:
-        pushed = push_down(pipeline, f, snapshots.known(pipeline, f) if mode == "snapshot" else None)
     by_table: dict[str, list[Node]] = {}
     for s in pipeline.sources:
         by_table.setdefault(s.table, []).append(s)
     loose = {t for t, nodes in by_table.items() if max(pushed[n].status for n in nodes) > Status.EXACT}
     ids = None
     if loose and mode != "pushdown":
-        tracked = pipeline.tracked({s: pushed[s].prune for s in pipeline.sources})
-        ids = tracked.filter(f.to_column()).select(F.explode(LINEAGE).alias("l")).select("l.source", "l.rid")
+        traced = without_limits(pipeline, pushed)
+        pruning = pushed if traced is pipeline else push_down(traced, f)
+        tracked = traced.tracked({s: _both(pushed[s], pruning[s]) for s in pipeline.sources})
+        ids = tracked.filter(f.to_column()).select(F.explode(LINEAGE).alias("l")).select("l.source", "l.rid").filter(F.col("source").isin(sorted(loose))).distinct()
+        if len(loose) > 1:  # read once for each table, so run once
+            ids = stored(ids, "lineage")
     out = {}
     for table, nodes in by_table.items():
         predicate = simplify(any_of([p for n in nodes if not (isinstance(p := pushed[n].predicate, Lit) and p.value is False)])) if nodes else FALSE
         status, reasons = max(pushed[n].status for n in nodes), [r for n in nodes for r in pushed[n].reasons]
         if table in loose and ids is not None:
             own = nodes[0].identified(pipeline.spark).filter(predicate.to_column())
-            mine = ids.filter(F.col("source") == table).select(F.col("rid").alias(RID)).distinct()
+            mine = ids.filter(F.col("source") == table).select(F.col("rid").alias(RID))
             # Which side is broadcast is left to the optimizer: a predicate's lineage may be large.
             out[table] = SourceLineage(table, predicate, status, reasons, own.join(mine, RID, "left_semi").drop(RID), True)
         else:
@@ -81,6 +97,11 @@ def lineage(pipeline: Pipeline, f: Expr, mode: str = "auto", snapshots: Snapshot
     return Lineage(out)
 
 
+def _both(one: Pushed, other: Pushed) -> Expr:
+    """What may prune a source by either of two passes over the same question."""
+    return simplify(And(one.prune, other.prune))
+
+
 def eager_lineage(pipeline: Pipeline, f: Expr) -> Lineage:
     """By tracking row identities through every operator: the baseline, and the measure of the other ways."""
     ids = pipeline.tracked().filter(f.to_column()).select(F.explode(LINEAGE).alias("l")).select("l.source", "l.rid")

@@ -99,7 +99,9 @@ class AllAggregate(Node):
 
     step(state, row) takes a row as a dict, merge joins two states; both must not depend
     on the order of rows. Each task folds its own rows, and only the states, one for
-    each task, meet in one.
+    each task that has rows, meet in one. Every task begins with `start`, so it has to
+    change nothing: merge(start, s) is tested to be s. Then the result is the same
+    however the rows are dealt.
     """
 
     def __init__(self, dep: Node, aggs: Sequence[Agg] = (), fold: tuple[Any, Callable, Callable] | None = None, alias: str = "value", returns: str = "double"):
@@ -115,22 +117,27 @@ class AllAggregate(Node):
         def rows(parts: Iterator) -> Iterator:
             import pandas as pd
 
-            state = start
+            state, any_row = start, False
             for pdf in parts:
+                any_row = any_row or len(pdf) > 0
                 for row in pdf.to_dict("records"):
                     state = step(state, row)
-            yield pd.DataFrame({column: [state]})
+            if any_row:
+                yield pd.DataFrame({column: [state]})
 
         def states(parts: Iterator) -> Iterator:
             import pandas as pd
 
-            state = start
+            state, first = start, True
             for pdf in parts:
                 for s in pdf[column]:
-                    state = merge(state, s)
+                    if merge(start, s) != s and s == s:
+                        raise ValueError(f"the start of a fold must change nothing, but merge({start!r}, {s!r}) is {merge(start, s)!r}")
+                    state, first = s if first else merge(state, s), False
             yield pd.DataFrame({column: [state]})
 
-        return df.select(*[name(c) for c in data_columns(df)]).mapInPandas(rows, schema).coalesce(1).mapInPandas(states, schema)
+        # An exchange, so that the fold below it keeps its tasks; one state of each comes through.
+        return df.select(*[name(c) for c in data_columns(df)]).mapInPandas(rows, schema).repartition(1).mapInPandas(states, schema)
 
     def build(self, df):
         return self._folded(df) if self.fold else df.agg(*[a.column() for a in self.aggs])
@@ -164,7 +171,15 @@ class DropDuplicate(Node):
         return Window.partitionBy(*[name(c) for c in self.cols]).orderBy(*([name(c).asc_nulls_last() for c in order] or [F.lit(1)]))
 
     def build(self, df):
-        return df.withColumn("__n", F.row_number().over(self._window(df))).filter("__n = 1").drop("__n")
+        own = data_columns(df)
+        order = [*self.order, *[c for c in own if c not in self.order and c not in self.cols]]
+        if any(t.startswith("map") for c, t in df.dtypes if c in order) or LINEAGE in df.columns:  # maps have no order
+            return df.withColumn("__n", F.row_number().over(self._window(df))).filter("__n = 1").drop("__n")
+        # The least row of each key, combined before the shuffle; nulls last, as a flag in front of each column.
+        parts = [x for i, c in enumerate(order) for x in (name(c).isNull().alias(f"n{i}"), name(c).alias(f"c{i}"))]
+        least = df.groupBy(*[name(c) for c in self.cols]).agg(F.min(F.struct(*parts) if parts else F.lit(1)).alias("__least"))
+        place = {c: i for i, c in enumerate(order)}
+        return least.select(*[name(c) if c in self.cols and c not in place else F.col("__least").getField(f"c{place[c]}").alias(c) for c in own])
 
     def track(self, df):
         own = data_columns(df)

@@ -21,6 +21,7 @@ class Pipeline:
         self.nodes: list[Node] = []
         self._visit(sink, set())
         self._frames: dict[Node, DataFrame] = {}
+        self._columns: dict[Node, list[str]] = {}
 
     def _visit(self, node: Node, seen: set[int]) -> None:
         if id(node) in seen:
@@ -42,7 +43,9 @@ class Pipeline:
         return self._frames[node]
 
     def columns(self, node: Node) -> list[str]:
-        return data_columns(self.frame(node))
+        if node not in self._columns:
+            self._columns[node] = data_columns(self.frame(node))
+        return self._columns[node]
 
     def pruned(self, filters: Mapping[Node, Expr]) -> DataFrame:
         """The result over sources that are filtered first."""
@@ -70,13 +73,19 @@ class Pipeline:
 
     def reading(self, stored: Mapping[Node, Source]) -> Pipeline:
         """The same pipeline with some nodes replaced by sources that hold their results."""
+        return self.replacing(stored)
+
+    def replacing(self, others: Mapping[Node, Node]) -> Pipeline:
+        """The same pipeline with some nodes replaced by others, whose columns are the same and whose inputs, if any, are nodes of this one."""
         made: dict[Node, Node] = {}
         for n in self.nodes:
-            made[n] = stored.get(n, n)
-            if n not in stored and n.inputs:
-                made[n] = copy(n)
-                made[n].inputs = tuple(made[i] for i in n.inputs)
-        return Pipeline(self.spark, made[self.sink])
+            made[n] = others.get(n, n)
+            if made[n].inputs:
+                made[n] = copy(made[n])
+                made[n].inputs = tuple(made[i] for i in made[n].inputs)
+        out = Pipeline(self.spark, made[self.sink])
+        out._columns = {made[n]: columns for n, columns in self._columns.items()}
+        return out
 
     def unique_keys(self) -> dict[Node, set[frozenset[str]]]:
         """Unique keys of every node, from those that sources declare."""

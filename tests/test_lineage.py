@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from sluice.lineage import SnapshotStore, drop_by_key, eager_lineage, lineage, measure, plan_snapshots, push_down, same_rows, verify_pruning
+from sluice.lineage.answer import without_limits
 from sluice.operators import AntiJoin, Append, CrosstableUDF, DropDuplicate, Filter, GroupBy, InnerJoin, Join, LeftOuterJoin, Rename, Select, SemiJoin, SetItem, Status, Subquery, TopN, UnPivot, agg
 from sluice.pipeline import Pipeline
 from sluice.plans import catalog, operator_queries, tpch
@@ -179,3 +182,33 @@ def test_dummy_predicate_reaches_every_source(spark, small):
     p = Pipeline(spark, tpch.q10(catalog.tables(small)))
     pushed = push_down(p, schema_predicate(p.frame().schema))
     assert all(pushed[s].predicate.columns() for s in p.sources)
+
+
+def test_a_fixed_limit_lets_the_row_prune_below_it(spark, small):
+    p = Pipeline(spark, tpch.q10(catalog.tables(small)))
+    row = p.frame().first()
+    pushed = push_down(p, row_predicate(row))
+    assert not any("c_custkey" in pushed[s].prune.columns() for s in p.sources)  # below the limit nothing is pruned by the row
+    q = without_limits(p, pushed)
+    assert not any(isinstance(n, TopN) for n in q.nodes) and q.sources == p.sources
+    below = {n.table: x.prune.to_sql() for n, x in push_down(q, row_predicate(row)).items() if n in q.sources}
+    assert str(row.c_custkey) in below["customer"] and '"o_custkey" IS NOT DISTINCT FROM' in below["orders"] and row.n_name in below["nation"]
+    plan = q.tracked({s: push_down(q, row_predicate(row))[s].prune for s in q.sources})._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"o_custkey#\d+L <=> {row.c_custkey}\)", plan) and "TakeOrdered" not in plan
+
+
+def test_a_limit_whose_row_is_not_fixed_stays(spark, small):
+    p = Pipeline(spark, tpch.q10(catalog.tables(small)))
+    f = col("c_custkey") == p.frame().first().c_custkey
+    assert without_limits(p, push_down(p, f)) is p
+    found, want = lineage(p, f), eager_lineage(p, f)
+    for t, s in found.sources.items():
+        assert same_rows(s.rows, want[t].rows), t
+
+
+def test_no_row_below_a_limit_has_no_lineage(spark, small):
+    """A row that the query would give but for the limit isn't in the result."""
+    p = Pipeline(spark, tpch.q10(catalog.tables(small)))
+    top = next(n for n in p.nodes if isinstance(n, TopN))
+    beyond = p.frame(top.inputs[0]).exceptAll(p.frame(top)).first()
+    assert beyond is not None and set(lineage(p, row_predicate(beyond)).counts().values()) == {0}

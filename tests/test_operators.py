@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from sluice.lineage import lineage
-from sluice.operators import AllAggregate, CumAggr, Filter, GroupBy, Join, Pivot, SetItem, UnPivot, agg
+from sluice.operators import AllAggregate, CumAggr, DropDuplicate, Filter, GroupBy, Join, Pivot, SetItem, UnPivot, agg
 from sluice.pipeline import Pipeline
 from sluice.predicate import Lit, Opaque, col, row_predicate
 from sluice.sources import CsvTable, FrameTable, ParquetTable, SqlTable, write_parquet
@@ -78,6 +80,7 @@ def test_empty_inputs(spark):
     t = FrameTable(spark.createDataFrame([], "id int, v int"), "t", ["id"])
     assert Pipeline(spark, GroupBy(t, ["v"], [agg("count", alias="n")])).frame().collect() == []
     assert Pipeline(spark, AllAggregate(t, [agg("count", alias="n"), agg("sum", "v", "s")])).frame().collect() == [(0, None)]
+    assert Pipeline(spark, DropDuplicate(t, ["v"])).frame().collect() == []
     assert Pipeline(spark, AllAggregate(t, fold=(0, lambda s, r: s + r["v"], lambda a, b: a + b), returns="bigint")).frame().collect() == [(0,)]
     assert Pipeline(spark, Join(t, t, ["id"], how="full")).frame().collect() == []
     assert Pipeline(spark, CumAggr(t, "v", "sum", ["id"])).frame().collect() == []
@@ -95,3 +98,31 @@ def test_row_wise_pipeline_follows_a_stream(spark, small, tmp_path):
     assert spark.table("followed").count() == p.frame().count()
     with pytest.raises(TypeError):
         follow(Pipeline(spark, GroupBy(events, ["user_id"], [agg("count")])), {"events": stream})
+
+
+def test_fold_keeps_its_tasks_and_its_result_however_rows_are_dealt(spark):
+    df = spark.range(1000).withColumnRenamed("id", "v")
+    for n in (1, 4, 8):
+        t = FrameTable(df.repartition(n), "t", ["v"])
+        p = Pipeline(spark, AllAggregate(t, fold=(0, lambda s, r: s + r["v"], lambda a, b: a + b), returns="bigint"))
+        assert p.frame().collect() == [(499500,)]
+        plan = p.frame()._jdf.queryExecution().executedPlan().toString()
+        merge, fold = [m.start() for m in re.finditer("MapInPandas", plan)][:2]
+        assert "Exchange SinglePartition" in plan[merge:fold] and "Coalesce" not in plan
+        states = Pipeline(spark, t).frame().rdd.getNumPartitions()
+        assert states == n
+        bad = Pipeline(spark, AllAggregate(t, fold=(10, lambda s, r: s + r["v"], lambda a, b: a + b), returns="bigint"))
+        with pytest.raises(Exception, match="must change nothing"):
+            bad.frame().collect()
+
+
+def test_drop_duplicate_keeps_the_first_row_with_nulls_last(spark):
+    rows = [(1, None, "b"), (1, 5, None), (1, 5, "a"), (2, None, None), (2, None, "z"), (None, 3, "q"), (None, 2, "r"), (3, 1, "x"), (3, 1, "x")]
+    t = FrameTable(spark.createDataFrame(rows, "k int, v int, s string"), "t", ["k"])
+    p = Pipeline(spark, DropDuplicate(t, ["k"], ["v"]))
+    assert sorted(map(tuple, p.frame().collect()), key=str) == sorted([(1, 5, "a"), (2, None, "z"), (None, 2, "r"), (3, 1, "x")], key=str)
+    assert p.frame().columns == ["k", "v", "s"]
+    plan = p.frame()._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_min" in plan
+    assert sorted(map(tuple, Pipeline(spark, DropDuplicate(t, ["k", "v", "s"])).frame().collect()), key=str) == sorted(set(rows), key=str)
+    assert sorted(map(tuple, Pipeline(spark, DropDuplicate(t, ["k"], ["k", "s"])).frame().collect()), key=str) == sorted([(1, 5, "a"), (2, None, "z"), (None, 3, "q"), (3, 1, "x")], key=str)
