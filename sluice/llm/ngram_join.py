@@ -367,14 +367,16 @@ def jaccard_join(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: floa
     gives no rows. Other columns are ignored.
     """
     rows, classes = classes_and_rows(df, ratio, tolerance)
-    out = rows.join(classes, "digest", "left")
-    return out.select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
+    # Rows without shingles join nothing; they would all meet in the task of the null key.
+    alone = rows.filter("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("group_size"))
+    return rows.join(classes, "digest").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("group_size").cast("long").alias("group_size")).unionByName(alone)
 
 
 def keep_one(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: float = 1e-9) -> DataFrame:
     """df without the documents whose component holds a smaller doc_id; df's columns as they are.
 
-    Rows that a filter of those hashes lets pass are not shuffled. Rows with a null doc_id stay, and so do rows that repeat the id that stays.
+    Null, empty and blank texts have no shingles and stay, as does a text of any length
+    that nothing is linked to; an empty table gives no rows. Rows that a filter of those hashes lets pass are not shuffled. Rows with a null doc_id stay, and so do rows that repeat the id that stays.
     """
     rows, classes = classes_and_rows(df, ratio, tolerance)
     gone = rows.join(classes.filter("group_size > 1"), "digest").filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash"))
