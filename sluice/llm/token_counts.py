@@ -32,10 +32,12 @@ def write_token_files(df: DataFrame, folder: str, vocab: str, end_id: int, dtype
 
     Each document is its ids and end_id; a null or empty text is end_id alone, and
     special tokens' strings in a text are ordinary text, so end_id never occurs inside
-    one. A task that is run again writes files of new names; only those that the
+    one. An id that dtype can't hold is an error. A task that is run again writes files of new names; only those that the
     returned table names are whole, and it is written once, after them. The folder must
     be on a store that Arrow opens.
     """
+    if not 0 <= end_id <= np.iinfo(dtype).max:
+        raise ValueError(f"separator {end_id} doesn't fit in {dtype}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (fs, path) = cached(vocab, True), pyarrow.fs.FileSystem.from_uri(folder)
@@ -53,6 +55,8 @@ def write_token_files(df: DataFrame, folder: str, vocab: str, end_id: int, dtype
                     out = fs.open_output_stream(f"{path}/{name}")
                 codes, counts = words.words(texts)
                 ids, lengths = words.gather(codes, counts)
+                if len(ids) and ids.max() > np.iinfo(dtype).max:
+                    raise ValueError(f"token id {ids.max()} doesn't fit in {dtype}")
                 data = np.insert(ids, np.cumsum(lengths), end_id).astype(dtype).tobytes()
                 out.write(data)
                 size += len(data)
