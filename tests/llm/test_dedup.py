@@ -220,3 +220,15 @@ def test_separators_across_blocks(spark, tmp_path, block, dtype):
     files = token_counts.files_in(spark, f"file://{tmp_path}")
     got = token_counts.count_tokens(files.union(files), 3, dtype, block).collect()
     assert sorted((r.file.rpartition("/")[2], *r[1:]) for r in got) == sorted(want)
+
+
+def test_ids_that_do_not_fit_are_an_error(docs):
+    with pytest.raises(ValueError, match="doesn't fit"):
+        token_counts.write_token_files(docs, "file:///nowhere", VOCAB, 70_000)
+    with pytest.raises(Exception, match="doesn't fit"):
+        token_counts.write_token_files(docs, token_counts.scratch_path(docs.sparkSession, "small"), VOCAB, 1, dtype="<u1")
+
+
+def test_texts_without_shingles_do_not_meet_in_a_join(odd):
+    plan = ngram_join.jaccard_join(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "isnotnull(digest" in plan.replace("Digest", "digest")

@@ -95,3 +95,28 @@ def test_pipeline_stages_by_hand(spark, small, docs):
         assert r.doc_tokens == len(x) and r.ids_crc32 == zlib.crc32(x[part].tobytes())
         covered.setdefault(r.doc_id, np.zeros(len(x), int))[part] += 1
     assert {i: set(n) for i, n in covered.items()} == {r.doc_id: {n} for r, n in times.items()}
+
+
+@pytest.mark.parametrize("which", ["odd", "none"])
+def test_stages_take_odd_and_empty_tables(spark, small, request, which):
+    df = request.getfixturevalue(which).withColumn("mix", F.lit("own")).withColumn("position", F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, small)
+        rows = out.collect()
+        if name != "packing":
+            assert out.columns == df.columns and all((r.mix, r.position) == ("own", "mine") for r in rows)
+            assert not set(rows) - set(df.collect())
+        assert bool(rows) == (which == "odd") or name == "quality rules"
+
+
+def test_the_rest_works_without_what_the_part_needs(tmp_path):
+    """With a library of the part missing, the other queries are still there."""
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
+    env = os.environ | {"PYTHONPATH": f"{tmp_path}{os.pathsep}{os.environ['PYTHONPATH']}"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd=os.path.dirname(corpus_pipeline.__file__), capture_output=True, text=True, timeout=60).stdout.split()
+    assert int(out[0]) > 90 and out[1:] == ["False", "True"]
