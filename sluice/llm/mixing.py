@@ -79,7 +79,7 @@ def knots_of(schedules: Sequence[Sequence[tuple[float, float]]], rank: Column) -
     return out
 
 
-def mixed(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, schedules: Sequence = SCHEDULES, whole: bool = False, size_col: str | None = None, seed: int = 17, rows_a_block: int = 1024) -> DataFrame:
+def mixed(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, schedules: Sequence = SCHEDULES, whole: bool = False, size_col: str | None = None, tie_col: str | None = None, seed: int = 17, rows_a_block: int = 1024) -> DataFrame:
     """df with mix (struct): size, source_size, target, taken, copies, position, repeat_position.
 
     Within a source the documents stand in an order fixed by the seed, end to end and
@@ -91,7 +91,7 @@ def mixed(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     (null if not taken), with `most` of 2 at most two.
 
     Sizes are words of the text, or the column size_col (null: 0) if given; then no
-    text is needed. A null source is a source of its own; null or empty texts have size 0 and are
+    text is needed, and tie_col, a hash of it, orders rows that share a doc_id and a size. A null source is a source of its own; null or empty texts have size 0 and are
     taken never; repeated rows are documents of their own; a source of no words has
     target 0. An empty table gives no rows. Columns of df pass unchanged, and a column
     named mix is replaced.
@@ -106,7 +106,7 @@ def mixed(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     key = F.xxhash64(F.lit(seed), F.col("doc.doc_id").cast("string"))
     d = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
     size = F.coalesce(F.col(f"doc.{size_col}"), F.lit(0)).cast("long") if size_col else n_words(F.col("doc.text").cast("string"))
-    tie = F.col("size") if size_col else F.xxhash64("doc.text")
+    tie = F.col(f"doc.{tie_col}") if tie_col else F.col("size") if size_col else F.xxhash64("doc.text")
     d = d.select("doc", F.col("doc.source").alias("source"), size.alias("size"), key.alias("key"))
     blocks = max(1, d.count() // rows_a_block)
     # 2**20 places of the order, cut evenly into blocks
