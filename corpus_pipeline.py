@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import exact_dedup, mixing, ngram_join, packing, quality
-from sluice.llm.common import documents, materialize
+from sluice.llm.common import documents, materialize, n_words
 from sluice.llm.queries import VOCAB
 
 
@@ -37,9 +37,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and sources like any other and repeated rows each. A column named mix is kept.
     """
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), "doc_id", "text", "source")
+    doc = F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")
+    rows = docs.select(doc, "doc_id", "source", n_words(F.col("text")).alias("words"), F.xxhash64("text").alias("tie"))
     times = F.array_compact(F.array("mix.position", "mix.repeat_position"))
-    out = mixing.mixed(rows, whole=True).select("doc", "doc_id", F.explode(times).alias("position"))
+    out = mixing.mixed(rows, whole=True, size_col="words", tie_col="tie").select("doc", "doc_id", F.explode(times).alias("position"))
     return mixing.in_training_order(out, "position").select(*[F.col("doc").getField(c).alias(c) for c in names])
 
 
