@@ -182,20 +182,19 @@ def bitmap_bit(bitmap: Column, bit: Column) -> Column:
     return F.coalesce(byte.bitwiseAND(power) > 0, F.lit(False))
 
 
-def split_by_filter(df: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame] | None:
-    """(rows whose hash in column may be among the keys, rows whose is not): a Bloom filter of one hash, 16 slots a key.
+def split_by_filter(df: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash in column may be among the keys, rows whose is not): a Bloom filter of one hash.
 
-    Rows of the second kind need no join. None where the filter would be too large to
-    broadcast; then all rows have to be joined.
+    Rows of the second kind need no join. The filter has 16 slots a key up to
+    BROADCAST_BYTES; with more keys it keeps that size and lets more rows through.
     """
-    bits = max(15, (16 * max(1, keys.count()) - 1).bit_length())
-    if (1 << bits) // 8 > BROADCAST_BYTES:
-        return None
+    most = max(15, (8 * BROADCAST_BYTES).bit_length() - 1)
+    bits = min(most, max(15, (16 * max(1, keys.count()) - 1).bit_length()))
     mask = (1 << bits) - 1
     slot = F.col(key).bitwiseAND(F.lit(mask))
     filled = keys.select(slot.alias("slot")).select(F.expr(f"slot div {BITMAP}").alias("__bucket"), F.expr(f"slot % {BITMAP}").alias("bit"))
     filled = materialize(filled.groupBy("__bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("__bitmap")), "filter")
     own = F.col(column).bitwiseAND(F.lit(mask))
-    # 2**bits slots, so 64 MB at most (checked above)
+    # 2**bits slots, so BROADCAST_BYTES at most
     tested = df.join(F.broadcast(filled), F.floor(own / BITMAP) == F.col("__bucket"), "left").withColumn("__may", bitmap_bit(F.col("__bitmap"), own % BITMAP)).drop("__bucket", "__bitmap")
     return tested.filter("__may").drop("__may"), tested.filter(~F.col("__may")).drop("__may")

@@ -288,7 +288,7 @@ def verified(df: DataFrame, groups: DataFrame, ratio: tuple[int, int]) -> DataFr
     plan = materialize(groups.join(materialize(total, "groups"), "label").select("node", "label", "size", blocks.alias("blocks"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), "plan")
     text = F.col("text").cast("string")
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    docs, _ = split_by_filter(docs, "text_hash", plan, "rep_hash") or (docs, None)  # only those are shuffled
+    docs, _ = split_by_filter(docs, "text_hash", plan, "rep_hash")  # only those are shuffled
     read = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))).select("node", "label", "size", "blocks", "text")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,6 +383,6 @@ def keep_one(df: DataFrame, ratio: tuple[int, int] = (4, 5), tolerance: float =
     gone = materialize(gone.distinct(), "gone")
     # The document in one column, so that none of its own can clash with ours.
     hashed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__own"))
-    may, stay = split_by_filter(hashed, "__own", gone, "__hash") or (hashed, None)
+    may, stay = split_by_filter(hashed, "__own", gone, "__hash")
     left = may.join(gone, (F.col("__id") == F.col("__gone")) & (F.col("__own") == F.col("__hash")), "left_anti")
-    return (left if stay is None else left.unionByName(stay)).select(*[F.col("doc").getField(c).alias(c) for c in df.columns])
+    return left.unionByName(stay).select(*[F.col("doc").getField(c).alias(c) for c in df.columns])

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sluice.llm import exact_dedup, licences, line_dedup, ngram_join, token_counts
@@ -46,6 +47,30 @@ def test_exact_with_a_crowded_filter(spark, docs, monkeypatch):
     assert exact_dedup.exact_dedup(docs).filter("kept").count() == docs.select("text").distinct().count()
 
 
+def test_exact_in_ranges_and_stretches(spark, docs, odd, monkeypatch):
+    whole = {which: (sorted(map(str, exact_dedup.exact_dedup(df).collect())), sorted(map(str, exact_dedup.drop_copies(df).collect()))) for which, df in (("docs", docs), ("odd", odd))}
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 4096)
+    monkeypatch.setattr(exact_dedup, "filter_bits", lambda rows, per_row=16: 18)  # 32 KB, so eight ranges
+    bounds = []
+    tested = exact_dedup.tested
+    monkeypatch.setattr(exact_dedup, "tested", lambda digests, bloom, bits: bounds.append(bits) or tested(digests, bloom, bits))
+    for which, df in (("docs", docs), ("odd", odd.repartition(5, "doc_id"))):
+        got = exact_dedup.exact_dedup(df)
+        assert sorted(map(str, got.collect())) == whole[which][0]
+        assert sorted(map(str, exact_dedup.drop_copies(df).collect())) == whole[which][1]
+    assert bounds == [15] * 32
+
+
+def test_bitmaps_are_cut_by_number(spark):
+    gone = spark.range(0, 40 * 32_768, 999).select(F.expr("id div 32768").alias("b"), F.expr("id % 32768").alias("bit")).groupBy("b").agg(F.expr("bitmap_construct_agg(bit)").alias("m"))
+    assert exact_dedup.cuts(gone, 40) == [] and exact_dedup.cuts(gone, 7) == [7, 14, 21, 28, 35]
+
+
+def test_dropping_copies_shuffles_no_text(spark, docs, monkeypatch):
+    plan = exact_dedup.drop_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def key(line):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
 
