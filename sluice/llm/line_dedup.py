@@ -1,19 +1,23 @@
 """Line dedup with levelled sorted runs of line hashes, in DataFrame functions only.
 
-A run is a table of (line hash, documents that hold it), sorted by hash. A batch of
-documents is counted, anti-joined with the hashes that the runs already know to be
-frequent, and added as a run of the first level; as soon as a level has `fanout` runs
-they are merged into one of the next.
+A run is a table of (line hash, documents that hold it), bucketed and sorted by hash.
+A batch of documents is counted, merge-anti-joined with the hashes that the runs
+already know to be frequent, and added as a run of the first level; as soon as a level
+has `fanout` runs they are merged into one of the next. Runs are never shuffled or
+sorted again: equal buckets meet in one task, each in its order.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, partitions
+from .common import SPACES, materialize, partitions, remove, scratch_path, split_by_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,64 +34,127 @@ def key_of(bare: Column) -> Column:
 
 
 def hashed_lines(text: Column, least: int) -> Column:
-    """An array of (line, hash) for a text's lines: the MD5 of the line's key, null for keys of fewer than `least` code points, which never count.
+    """An array of the hashes of a text's lines: the MD5 of the line's key, null for keys of fewer than `least` code points, which never count.
 
     In steps, so that each line's parts are made once.
     """
-    bare = F.transform(lines_of(text), lambda x: F.struct(x.alias("line"), F.btrim(x, F.lit(SPACES)).alias("bare")))
-    keyed = F.transform(bare, lambda x: F.struct(x["line"].alias("line"), key_of(x["bare"]).alias("key")))
-    return F.transform(keyed, lambda x: F.struct(x["line"].alias("line"), F.when(F.length(x["key"]) >= least, F.md5(x["key"].cast("binary"))).alias("hash")))
+    keys = F.transform(F.transform(lines_of(text), lambda x: F.btrim(x, F.lit(SPACES))), key_of)
+    return F.transform(keys, lambda x: F.when(F.length(x) >= least, F.unhex(F.md5(x.cast("binary")))))
 
 
-#: So many frequent lines, 16 bytes each, are looked up within a row; for more, documents are joined with their frequent lines.
-MOST_IN_ROW = 20_000
-
-
-def holds(frequent: DataFrame, n: int, line: Column) -> Column:
-    """Whether one of the n frequent lines has this hash, found in a constant table of buckets of equal width."""
-    buckets = 1 << max(0, (n // 2).bit_length())
-    place = lambda line: F.xxhash64(line).bitwiseAND(F.lit(buckets - 1)).cast("int")
-    table: list[list[bytes]] = [[] for _ in range(buckets)]
-    for r in frequent.select(place(F.col("line")).alias("at"), "line").collect():  # n was checked
-        table[r["at"]].append(bytes(r["line"]))
-    width = 16 * max(map(len, table))
-    constant = F.lit(b"".join(b"".join(sorted(x)).ljust(width, b"\0") for x in table))
-    return F.coalesce(F.contains(F.substring(constant, place(line) * width + 1, F.lit(width)), line), F.lit(False))
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Scans of bucketed tables with one file a bucket are taken as sorted while this lasts."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 class LineRuns:
-    """The levels of runs. All runs lie in the shared folder, so they outlast executors."""
+    """The levels of runs, a store in the shared folder that outlasts executors.
 
-    def __init__(self, spark: SparkSession, enough: int, fanout: int = 3):
-        self.spark, self.enough, self.fanout = spark, enough, fanout
-        self.levels: list[list[DataFrame]] = [[]]
+    With a path it outlasts the process too: a later LineRuns of that path goes on with
+    the runs it finds there. What the store holds is what its newest manifest names, so
+    a step that was cut short leaves the store as it was. One process adds at a time.
+    """
 
-    def _run(self, rows: DataFrame) -> DataFrame:
-        return materialize(rows.select("line", "n_docs").repartition(partitions(self.spark), "line").sortWithinPartitions("line"), "run")
+    def __init__(self, spark: SparkSession, enough: int, fanout: int = 2, path: str | None = None):
+        self.spark, self.enough, self.fanout, self.own = spark, enough, fanout, path is None
+        self.path = path.rstrip("/") if path else scratch_path(spark, "runs")
+        self.levels: list[list[str]] = [[]]
+        self.version, self.buckets = 0, partitions(spark)
+        if path:
+            self._open()
+
+    def _open(self) -> None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder) or not files.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-*/_SUCCESS")):
+            return
+        found = [json.loads(r["value"]) for r in self.spark.read.text(f"{self.path}/manifest-*").collect()]  # two at most
+        newest = max(found, key=lambda x: x["version"])
+        self.version, self.levels, self.buckets = newest["version"], newest["levels"], newest["buckets"]
+        for run in (r for level in self.levels for r in level):
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (line BINARY, n_docs BIGINT) USING parquet CLUSTERED BY (line) SORTED BY (line) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+
+    def _commit(self, gone: list[str]) -> None:
+        """Name the runs that now count, then delete those that don't."""
+        self.version += 1
+        text = json.dumps({"version": self.version, "levels": self.levels, "buckets": self.buckets})
+        self.spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(f"{self.path}/manifest-{self.version:08d}")
+        remove(self.spark, f"{self.path}/manifest-{self.version - 1:08d}")
+        for run in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            remove(self.spark, f"{self.path}/{run}")
+
+    def _write(self, rows: DataFrame) -> str:
+        """A new run of rows that lie in their buckets' tasks."""
+        name = f"sluice_run_{uuid.uuid4().hex}"
+        rows.select("line", "n_docs").write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "line").sortBy("line").saveAsTable(name)
+        return name
+
+    def merged(self, a: str, b: str) -> DataFrame:
+        """The merge join of two runs."""
+        x, y = self.spark.table(a).alias("x"), self.spark.table(b).hint("merge").alias("y")
+        both = x.join(y, F.col("x.line") == F.col("y.line"), "full_outer")
+        count = F.coalesce(F.col("x.n_docs"), F.lit(0)) + F.coalesce(F.col("y.n_docs"), F.lit(0))
+        return both.select(F.coalesce("x.line", "y.line").alias("line"), count.alias("n_docs"))
+
+    def unknown(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch whose line no run holds as frequent, in their buckets' tasks."""
+        batch = batch.repartition(self.buckets, "line")
+        for run in (r for level in self.levels for r in level):
+            batch = batch.join(self.spark.table(run).filter(F.col("n_docs") >= self.enough).hint("merge"), "line", "left_anti")
+        return batch
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("line").agg(F.sum("n_docs").alias("n_docs"))
+    def _one_of(self, runs: list[str]) -> tuple[str, list[str]]:
+        """(one run of all the runs, the runs that it replaces)."""
+        one, gone = runs[0], []
+        for run in runs[1:]:
+            gone += [one, run]
+            one = self._write(self.merged(one, run))
+        return one, gone
 
     def add(self, batch: DataFrame) -> None:
-        """Take in a batch's (line, n_docs). Lines that a run holds as frequent need no more counting."""
-        for run in (r for level in self.levels for r in level):
-            batch = batch.join(run.filter(F.col("n_docs") >= self.enough), "line", "left_anti")
-        self.levels[0].append(self._run(batch))
-        for i in range(len(self.levels)):
-            if len(self.levels[i]) >= self.fanout:
-                if i + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[i + 1].append(self._run(self._merged(self.levels[i])))
-                self.levels[i] = []
+        """Take in a batch's (line, n_docs), each line once. Lines that a run holds as frequent need no more counting."""
+        with sorted_buckets(self.spark):
+            self.levels[0].append(self._write(self.unknown(batch)))
+            gone = []
+            for i in range(len(self.levels)):
+                if len(self.levels[i]) >= self.fanout:
+                    if i + 1 == len(self.levels):
+                        self.levels.append([])
+                    one, old = self._one_of(self.levels[i])
+                    self.levels[i + 1].append(one)
+                    self.levels[i], gone = [], gone + old
+        self._commit(gone)
 
     def frequent(self) -> DataFrame:
-        """The lines of at least `enough` documents."""
+        """The lines of at least `enough` documents, written. A line may be frequent only in all runs together, so these are merged."""
         runs = [r for level in self.levels for r in level]
-        return self._merged(runs).filter(F.col("n_docs") >= self.enough).select("line")
+        if not runs:
+            return self.spark.createDataFrame([], "line binary")
+        with sorted_buckets(self.spark):
+            one, made = self._one_of(runs)
+            out = materialize(self.spark.table(one).filter(F.col("n_docs") >= self.enough).select("line"), "frequent")
+        for run in {one, *made} - set(runs):
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            remove(self.spark, f"{self.path}/{run}")
+        return out
+
+    def close(self) -> None:
+        """Forget the tables; delete the runs too if the store has no path of its own."""
+        for run in (r for level in self.levels for r in level):
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        if self.own:
+            remove(self.spark, self.path)
 
 
-def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int = 4, fanout: int = 3, text_col: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int = 4, fanout: int = 2, text_col: str = "text", store: str | None = None) -> DataFrame:
     """df with lines (struct): n_lines, n_dropped, kept (the text of the lines that stay).
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case.
@@ -97,37 +164,36 @@ def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int =
     as documents of their own; doc_id may be null. df's columns pass unchanged, and a
     column named lines is replaced. An empty table gives no rows.
 
-    Lines travel as hashes. Up to MOST_IN_ROW frequent ones go to the documents, whose
-    texts then aren't shuffled. If there are more, a document's own come back to it by
-    doc_id and a hash of its text; they are held in one row, as its lines are.
+    df is counted in so many batches. With a store, a path of the shared folder, the
+    documents of earlier calls count too, and these are added for later ones.
+
+    Lines travel as hashes of 16 bytes. A document's frequent lines come back to it as
+    places, by doc_id and a hash of its text; only documents that a Bloom filter lets
+    through are joined with them. The places are held in one row, as its lines are.
     """
     names = [c for c in df.columns if c != "lines"]
     text = F.col(f"doc.{text_col}").cast("string")
     docs = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
-    docs = docs.withColumn("id", F.col("doc.doc_id")).withColumn("text_hash", F.xxhash64(text)).withColumn("text", text)
-    hashes = F.array_distinct(F.array_compact(F.transform(hashed_lines(F.col("text"), least), lambda x: x["hash"])))
-    held = docs.select("id", "text_hash", F.pmod(F.xxhash64("id", "text_hash"), F.lit(batches)).alias("batch"), F.explode(hashes).alias("hex"))
-    held = held.select("id", "text_hash", "batch", F.unhex("hex").alias("line"))
+    docs = docs.select("doc", F.col("doc.doc_id").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    hashes = hashed_lines(F.col("text"), least)
+    held = docs.select(F.pmod(F.xxhash64("id", "text_hash"), F.lit(batches)).alias("batch"), F.explode(F.array_distinct(F.array_compact(hashes))).alias("line"))
     counts = materialize(held.groupBy("batch", "line").agg(F.count(F.lit(1)).alias("n_docs")), "lines")
-    runs = LineRuns(df.sparkSession, enough, fanout)
+    runs = LineRuns(df.sparkSession, enough, fanout, store)
     for b in range(batches):
         runs.add(counts.filter(F.col("batch") == b).select("line", "n_docs"))
-    frequent = materialize(runs.frequent(), "frequent")
-    lines, n = lines_of(F.col("text")), frequent.count()
-    binary = F.transform(hashed_lines(F.col("text"), least), lambda x: F.struct(x["line"].alias("line"), F.unhex(x["hash"]).alias("hash")))
-    if not n:
-        out = docs.withColumn("stay", lines)
-    elif n <= MOST_IN_ROW:
-        out = docs.withColumn("stay", F.transform(F.filter(binary, lambda x: ~holds(frequent, n, x["hash"])), lambda x: x["line"]))
-    else:
-        drops = held.join(frequent, "line", "left_semi").groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.collect_set("line").alias("drops"))
-        out = docs.join(materialize(drops, "drops"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
-        stay = F.transform(F.filter(binary, lambda x: ~F.coalesce(F.array_contains(F.col("drops"), x["hash"]), F.lit(False))), lambda x: x["line"])
-        out = out.withColumn("stay", F.when(F.col("drops").isNull(), lines).otherwise(stay))
-    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
-    n_lines = F.coalesce(n_lines, F.lit(1))
-    made = F.struct(n_lines.cast("long").alias("n_lines"), (n_lines - F.size("stay")).cast("long").alias("n_dropped"), F.array_join("stay", "\n").alias("kept"))
-    return out.select(*[F.col("doc").getField(c).alias(c) for c in names], made.alias("lines"))
+    frequent = runs.frequent()
+    runs.close()
+    places = docs.select("id", "text_hash", F.posexplode(hashes).alias("place", "line")).filter("line IS NOT NULL").join(frequent, "line", "left_semi")
+    drops = materialize(places.groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.collect_set("place").alias("drops")), "drops")
+    may, stay = split_by_filter(docs, "text_hash", drops, "of_hash")
+    # The lines are split before the join, so that looking one up by its place doesn't split the text again.
+    may = may.select("doc", "id", "text_hash", lines_of(F.col("text")).alias("all")).join(drops, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.coalesce("drops", F.array().cast("array<int>")))
+    may = may.select("doc", F.size("all").alias("n"), F.size(left).alias("m"), F.array_join(F.transform(left, lambda i: F.col("all")[i]), "\n").alias("kept"))
+    n = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(1))
+    stay = stay.select("doc", n.alias("n"), n.alias("m"), F.coalesce("text", F.lit("")).alias("kept"))
+    made = F.struct(F.col("n").cast("long").alias("n_lines"), (F.col("n") - F.col("m")).cast("long").alias("n_dropped"), "kept")
+    return may.unionByName(stay).select(*[F.col("doc").getField(c).alias(c) for c in names], made.alias("lines"))
 
 
 #: DuckDB SQL for the query's rows over documents.

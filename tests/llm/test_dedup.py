@@ -6,6 +6,9 @@ import hashlib
 import inspect
 import itertools
 import math
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -75,10 +78,14 @@ def key(line):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
 
 
-@pytest.mark.parametrize("most", [20_000, 0])
+@pytest.mark.parametrize("joined", ["auto", "sorted"])
 @pytest.mark.parametrize(("which", "enough", "least"), [("docs", 10, 1), ("odd", 2, 1), ("docs", 3, 20)])
-def test_lines(request, monkeypatch, which, enough, least, most):
-    monkeypatch.setattr(line_dedup, "MOST_IN_ROW", most)
+def test_lines(request, spark, which, enough, least, joined):
+    if joined == "sorted":  # as where there are too many frequent lines or documents to broadcast
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            before = spark.conf.get(name, None)
+            spark.conf.set(name, "-1")
+            request.addfinalizer(lambda n=name, v=before: spark.conf.unset(n) if v is None else spark.conf.set(n, v))
     df = request.getfixturevalue(which)
     rows = df.collect()
     held = Counter(k for r in rows for k in {key(x) for x in (r.text or "").split("\n")} if len(k) >= least)
@@ -98,6 +105,43 @@ def test_runs_are_compacted_by_level(spark):
         runs.add(spark.createDataFrame([(bytes([x]), 1) for x in range(b, 5)], "line binary, n_docs long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert sorted(bytes(r.line)[0] for r in runs.frequent().collect()) == [2, 3, 4]
+    runs.close()
+
+
+def test_stored_runs_are_neither_shuffled_nor_sorted(spark):
+    runs = line_dedup.LineRuns(spark, enough=3, fanout=9)
+    batch = spark.range(500).select(F.unhex(F.md5(F.col("id").cast("string").cast("binary"))).alias("line"), F.lit(2).cast("long").alias("n_docs"))
+    runs.add(batch)
+    runs.add(batch)
+    with line_dedup.sorted_buckets(spark):
+        merge = runs.merged(*runs.levels[0])._jdf.queryExecution().executedPlan().toString()
+        anti = runs.unknown(batch)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in merge and "Exchange" not in merge and "Sort [" not in merge
+    # the batch alone is dealt and sorted, once
+    assert anti.count("SortMergeJoin") == 2 and anti.count("Exchange") == 1 and anti.count("Sort [") == 1
+    assert runs.frequent().count() == 500
+    runs.close()
+
+
+STORE = r"""
+import sys
+from pyspark.sql import SparkSession
+from sluice.llm import line_dedup
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", sys.argv[1] + "/warehouse").config("spark.checkpoint.dir", "file://" + sys.argv[1] + "/shared").getOrCreate()
+df = spark.createDataFrame([(int(sys.argv[2]), "Menu\nhome\nown " + sys.argv[2])], "doc_id long, text string")
+r = line_dedup.dedup_lines(df, enough=2, batches=2, store="file://" + sys.argv[1] + "/store").first().lines
+print("GOT", r.n_lines, r.n_dropped, r.kept.split("\n"))
+"""
+
+
+def test_a_second_process_meets_the_first_ones_lines(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = []
+    for i in range(3):
+        done = subprocess.run([sys.executable, "-c", STORE, str(tmp_path), str(i)], cwd=root, env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr[-3000:]
+        got.append(next(x for x in done.stdout.splitlines() if x.startswith("GOT")))
+    assert got == ["GOT 3 0 ['Menu', 'home', 'own 0']", "GOT 3 2 ['own 1']", "GOT 3 2 ['own 2']"]
 
 
 def shingles(text):
