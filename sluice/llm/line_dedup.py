@@ -186,8 +186,9 @@ def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int =
     places = docs.select("id", "text_hash", F.posexplode(hashes).alias("place", "line")).filter("line IS NOT NULL").join(frequent, "line", "left_semi")
     drops = materialize(places.groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.collect_set("place").alias("drops")), "drops")
     may, stay = split_by_filter(docs, "text_hash", drops, "of_hash")
+    # Drops grow with the documents, so they are merged with them at every size.
     # The lines are split before the join, so that looking one up by its place doesn't split the text again.
-    may = may.select("doc", "id", "text_hash", lines_of(F.col("text")).alias("all")).join(drops, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
+    may = may.select("doc", "id", "text_hash", lines_of(F.col("text")).alias("all")).join(drops.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.coalesce("drops", F.array().cast("array<int>")))
     may = may.select("doc", F.size("all").alias("n"), F.size(left).alias("m"), F.array_join(F.transform(left, lambda i: F.col("all")[i]), "\n").alias("kept"))
     n = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(1))
