@@ -151,10 +151,10 @@ def left_outer_join(t):
     return LeftOuterJoin(t("orders"), t("lineitem"), ["o_orderkey"], ["l_orderkey"])
 
 
-@query(f"SELECT c.c_custkey AS a, d.s_suppkey AS b FROM {NULLS_SQL} JOIN (SELECT s_suppkey, CASE WHEN s_acctbal >= 5000 THEN 'BUILDING' END AS seg FROM supplier) d ON c.c_mktsegment IS NOT DISTINCT FROM d.seg WHERE c_nationkey < 3")
+@query(f"SELECT c.c_custkey AS a, d.s_suppkey AS b FROM {NULLS_SQL} JOIN (SELECT s_suppkey, CASE WHEN s_acctbal >= 5000 THEN 'BUILDING' END AS seg FROM supplier) d ON c.c_mktsegment IS NOT DISTINCT FROM d.seg")
 def inner_join_null_keys(t):
     s = SetItem(t("supplier"), "seg", Case(((col("s_acctbal") >= 5000, Lit("BUILDING")),)))
-    j = InnerJoin(Filter(with_nulls(t), col("c_nationkey") < 3), s, ["c_mktsegment"], ["seg"], null_safe=True)
+    j = InnerJoin(with_nulls(t), s, ["c_mktsegment"], ["seg"], null_safe=True)
     return Rename(Select(j, ["c_custkey", "s_suppkey"]), {"c_custkey": "a", "s_suppkey": "b"})
 
 
@@ -255,10 +255,13 @@ def pivot(t):
     return p
 
 
-@query("SELECT n_regionkey, max(CASE WHEN n_nationkey < 5 THEN n_name END) AS \"0\", max(CASE WHEN n_nationkey BETWEEN 5 AND 9 THEN n_name END) AS \"1\" FROM nation WHERE n_nationkey < 10 GROUP BY n_regionkey")
+PLACES_SQL = ", ".join(f'max(CASE WHEN n_nationkey // 5 = {i} THEN n_name END) AS "{i}"' for i in range(5))
+
+
+@query(f"SELECT n_regionkey, {PLACES_SQL} FROM nation GROUP BY n_regionkey")
 def pivot_values(t):
-    n = SetItem(Filter(t("nation"), col("n_nationkey") < 10), "place", Case(((col("n_nationkey") < 5, Lit(0)),), Lit(1)))
-    return Pivot(n, ["n_regionkey"], "place", "n_name", [0, 1], None)
+    n = SetItem(t("nation"), "place", Case(tuple((col("n_nationkey") < 5 * i, Lit(i - 1)) for i in range(1, 5)), Lit(4)))
+    return Pivot(n, ["n_regionkey"], "place", "n_name", [0, 1, 2, 3, 4], None)
 
 
 @query("SELECT l_orderkey, variable, value FROM (SELECT l_orderkey, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT INCLUDE NULLS (value FOR variable IN (l_quantity, l_discount, l_tax))")
