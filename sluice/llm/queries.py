@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, licences, line_dedup, mixing, ngram_join, packing, quality, token_counts, toxicity
+from . import exact_dedup, hard_negatives, language, licences, line_dedup, mixing, ngram_join, packing, quality, spelling, token_counts, toxicity, weighted_sampling
 from .common import documents, materialize, n_words
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -57,14 +57,27 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op11_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprints(documents(spark, sf_dir))
+
+
+def op12_spelling_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_pivot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def queries() -> dict:
-    found = (op1_curve_packing, op2_bitmask_language, op3_isolation_quality, op4_separator_scan, op5_levelled_line_dedup, op6_bayes_jaccard_join, op7_minhash_licences, op8_curriculum_mix, op9_bloom_exact_dedup, op10_zstd_toxicity)
+    found = (op1_curve_packing, op2_bitmask_language, op3_isolation_quality, op4_separator_scan, op5_levelled_line_dedup, op6_bayes_jaccard_join, op7_minhash_licences, op8_curriculum_mix, op9_bloom_exact_dedup, op10_zstd_toxicity, op11_weighted_fingerprints, op12_spelling_neighbourhoods, op13_pivot_negatives)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_levelled_line_dedup": line_dedup.ORACLE_SQL, "op9_bloom_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op5_levelled_line_dedup": line_dedup.ORACLE_SQL, "op9_bloom_exact_dedup": exact_dedup.ORACLE_SQL, "op11_weighted_fingerprints": weighted_sampling.oracle_sql(), "op13_pivot_negatives": hard_negatives.ORACLE_SQL}
