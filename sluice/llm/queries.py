@@ -80,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_levelled_line_dedup": line_dedup.ORACLE_SQL, "op9_bloom_exact_dedup": exact_dedup.ORACLE_SQL, "op11_weighted_fingerprints": weighted_sampling.oracle_sql(), "op13_pivot_negatives": hard_negatives.ORACLE_SQL}
+    return {"op5_levelled_line_dedup": line_dedup.ORACLE_SQL, "op9_bloom_exact_dedup": exact_dedup.ORACLE_SQL, "op11_weighted_fingerprints": weighted_sampling.oracle_sql(), "op12_spelling_neighbourhoods": spelling.ORACLE_SQL, "op13_pivot_negatives": hard_negatives.ORACLE_SQL}

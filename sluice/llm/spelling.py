@@ -175,3 +175,27 @@ def variants(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **pa
     found = materialize(out.select("word", F.when(form, F.col("best.form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(form, -F.col("best.less")).alias("form_n")), "forms")
     roots = rooted(found.filter("form IS NOT NULL")).withColumnRenamed("word", "of")
     return found.join(roots, F.col("word") == F.col("of"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: DuckDB SQL for the rows of variants over documents, crc32 included.
+ORACLE_SQL = r"""
+WITH RECURSIVE crc(i, j, c) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, j + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE j < 8),
+steps AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE j = 8),
+texts AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS raw FROM documents),
+runs AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM texts GROUP BY ALL),
+keyed AS (SELECT run, times, list_prepend(4294967295, list_transform(range(1, octet_length(encode(k)) + 1), lambda p: ('0x' || substr(hex(encode(k)), 2 * p::BIGINT - 1, 2))::BIGINT)) AS bytes
+  FROM (SELECT run, times, coalesce(doc_id::VARCHAR, '') || ':' || run AS k FROM runs WHERE length(run) >= 5)),
+hashed AS (SELECT run, times, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h FROM keyed, steps),
+kept AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM kept WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+gaps AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+pairs AS (SELECT a.word, b.word AS near, b.n FROM (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole FROM places) a
+    JOIN (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole FROM places) b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM pairs GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+chain(word, root) AS (SELECT word, coalesce(form, word) FROM forms UNION SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word JOIN forms r ON r.word = c.root WHERE r.form IS NULL
+"""
