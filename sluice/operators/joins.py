@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..predicate import FALSE, TRUE, And, Expr, Field, Lit, all_of, implied_pins, nnf, pinned, simplify, split_and, weaken
+from ..predicate import FALSE, TRUE, And, Expr, Field, Lit, all_of, implied_pins, nnf, pinned, simplify, split_and, truth, weaken
 from .base import LINEAGE, Node, Push, Status, carried, data_columns, name
 
 _R = "__right_"
@@ -114,8 +114,8 @@ class Join(Node):
 def _rejects_null(q: Expr) -> bool:
     """Whether an atom on one column is not true of a null."""
     try:
-        return q.eval_row(dict.fromkeys(q.columns())) is not True
-    except Exception:  # a Python function may not take nulls; then nothing is claimed
+        return truth(q.substitute(dict.fromkeys(q.columns(), Lit(None)))) is not True
+    except Exception:  # a function may not take an untyped null; then nothing is claimed
         return False
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..predicate import FALSE, TRUE, And, Case, Expr, Field, Lit, any_of, pinned, simplify, weaken
+from ..predicate import FALSE, TRUE, And, Case, Expr, Field, Lit, any_of, pinned, simplify, truth, weaken
 from .aggregates import Agg, group_push
 from .base import LINEAGE, Node, Push, Status, data_columns, gathered, name
 
@@ -239,7 +239,7 @@ def _always(p: Expr) -> bool:
 def _truth(p: Expr) -> Expr:
     if p.columns():
         return p
-    return TRUE if p.eval_row({}) is True else FALSE
+    return TRUE if truth(p) is True else FALSE
 
 
 class GroupedMap(Node):

@@ -88,13 +88,13 @@ class UnPivot(Node):
 
 def _decided(p: Expr) -> Expr:
     """p with atoms of constants replaced by their truth."""
-    from ..predicate import Or, nnf
+    from ..predicate import Or, nnf, truth
 
     def walk(q: Expr) -> Expr:
         if isinstance(q, (And, Or)):
             return type(q)(walk(q.left), walk(q.right))
         if not q.columns() and not isinstance(q, Lit):
-            return TRUE if q.eval_row({}) is True else FALSE
+            return TRUE if truth(q) is True else FALSE
         return q
 
     return simplify(walk(nnf(p)))

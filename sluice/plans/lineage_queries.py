@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import SnapshotStore, lineage
-from ..operators import Node
+from ..functions import call
+from ..operators import CrosstableUDF, Filter, Node, PipelinePath, Select, SetItem, SubPipeline, Subquery, agg
 from ..operators.base import name
 from ..pipeline import Pipeline
-from ..predicate import Expr, col, row_predicate
+from ..predicate import Case, Expr, col, lit, row_predicate
 from . import operator_queries, tpch
 
 Tables = Callable[[str], Node]
@@ -92,11 +93,28 @@ question("top_n_orders", operator_queries.top_n, "orders", ["o_totalprice"], "SE
 question("drop_duplicate_orders", operator_queries.drop_duplicate, "orders", ["o_custkey"], "SELECT * FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE (o_custkey, o_orderstatus) = (SELECT (o_custkey, o_orderstatus) FROM orders ORDER BY o_custkey, o_orderstatus LIMIT 1))")
 question("pivot_orders", operator_queries.pivot, "orders", ["o_orderpriority"], "SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus IN ('F', 'O', 'P')")
 question("cum_sum_events", operator_queries.cum_sum, "events", ["ts", "event_id"], "SELECT * FROM events ORDER BY ts, event_id LIMIT 1")
-question("append_supplier", operator_queries.append, "supplier", ["-id", "-name"], "SELECT * FROM supplier WHERE s_suppkey = (SELECT max(c_custkey) FROM customer) AND s_name > 'Z'")
+question("append_supplier", operator_queries.append, "supplier", ["id", "-name"], "SELECT * FROM supplier WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier)")
 question("grouped_map_orders", operator_queries.grouped_map_table, "orders", ["-o_custkey"], "SELECT * FROM orders WHERE o_custkey = (SELECT max(o_custkey) FROM orders)")
 question("right_join_lineitem", operator_queries.right_join, "lineitem", ["-l_partkey", "o_orderkey"], """WITH j AS (SELECT o.o_orderkey, l.* FROM (SELECT * FROM orders WHERE o_orderstatus = 'F') o RIGHT JOIN lineitem l ON o_orderkey = l_orderkey),
     r AS (SELECT o_orderkey, l_partkey FROM j ORDER BY l_partkey DESC, o_orderkey NULLS LAST LIMIT 1) SELECT j.* EXCLUDE (o_orderkey) FROM j, r WHERE j.l_partkey = r.l_partkey AND j.o_orderkey IS NOT DISTINCT FROM r.o_orderkey""")
 
 
+def branch_on(condition: Expr) -> Callable[[Tables], Node]:
+    """Orders from key 5 on, x being half the key or, below 100, null; the quantity of an order is looked up under a condition on x."""
+
+    def make(t: Tables) -> Node:
+        orders = Select(Filter(t("orders"), col("o_orderkey") >= 5), ["o_orderkey"])
+        orders = SetItem(SetItem(orders, "half", col("o_orderkey") / lit(2.0)), "late", Case(((col("o_orderkey") > 100, lit(9.0)),)))
+        return CrosstableUDF(orders, "qty", SubPipeline([PipelinePath(Subquery(t("lineitem"), [("o_orderkey", "l_orderkey")], agg("sum", "l_quantity", "q")), condition)]))
+
+    return make
+
+
+# Branches that only Spark's own rules for halves and nulls take: order 5 has half 2.5 and no late value.
+for _key, _condition in (("round", call("round", col("half"), 0) == 3.0), ("least", call("least", col("late"), 5.0) == 5.0), ("greatest", call("greatest", col("late"), 5.0) == 5.0)):
+    for _mode in ("auto", "eager"):
+        question(f"crosstable_{_key}" + ("" if _mode == "auto" else "_eager"), branch_on(_condition), "lineitem", ["o_orderkey"], "SELECT * FROM lineitem WHERE l_orderkey = 5", _mode)
+
+
 QUERIES = {f"lineage_{k}": ask(make, table, mode, which) for k, (make, table, mode, which, _) in QUESTIONS.items()}
 SQL = {f"lineage_{k}": sql for k, (_, _, _, _, sql) in QUESTIONS.items()}

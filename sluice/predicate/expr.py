@@ -180,6 +180,28 @@ class Lit(Expr):
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
 
+def _least(*values):
+    """Of those that aren't null, the smallest; NaN is larger than any number."""
+    some = [v for v in values if v is not None]
+    return min(some, key=_ordered) if some else None
+
+
+def _greatest(*values):
+    some = [v for v in values if v is not None]
+    return max(some, key=_ordered) if some else None
+
+
+def _ordered(v):
+    return (v != v, 0 if v != v else v)
+
+
+def _compared(op: str, a, b) -> bool:
+    """Spark's order of values: NaN equals itself and is larger than any number."""
+    if a != a or b != b:
+        return _COMPARE[op](int(a != a), int(b != b))
+    return _COMPARE[op](a, b)
+
+
 _COMPARE: dict[str, Callable] = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
 
@@ -198,15 +220,15 @@ class Cmp(Expr):
     def eval_row(self, row):
         a, b = _plain(self.left.eval_row(row)), _plain(self.right.eval_row(row))
         if self.op == "<=>":
-            return a == b if a is not None and b is not None else a is b
-        return None if a is None or b is None else _COMPARE[self.op](a, b)
+            return _compared("==", a, b) if a is not None and b is not None else a is b
+        return None if a is None or b is None else _compared(self.op, a, b)
 
     def to_sql(self) -> str:
         op = {"==": "=", "!=": "<>", "<=>": "IS NOT DISTINCT FROM"}.get(self.op, self.op)
         return f"({self.left.to_sql()} {op} {self.right.to_sql()})"
 
 
-_ARITH: dict[str, Callable] = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "min": min, "max": max}
+_ARITH: dict[str, Callable] = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv}
 
 
 @dataclass(frozen=True, eq=False)
@@ -226,7 +248,7 @@ class Arith(Expr):
     def eval_row(self, row):
         a, b = self.left.eval_row(row), self.right.eval_row(row)
         if self.op in ("min", "max"):
-            return _ARITH[self.op](*[x for x in (a, b) if x is not None], **{"default": None}) if None in (a, b) and a is b else (_ARITH[self.op](a, b) if None not in (a, b) else a if b is None else b)
+            return {"min": _least, "max": _greatest}[self.op](a, b)
         return None if a is None or b is None or (self.op == "/" and b == 0) else _ARITH[self.op](a, b)
 
     def to_sql(self) -> str:
@@ -458,7 +480,7 @@ FUNCTIONS: dict[str, tuple[Callable[..., Column], Callable[..., Any], str]] = {}
 
 @dataclass(frozen=True, eq=False)
 class Call(Expr):
-    """A registered scalar function. Null if an argument is, except for coalesce."""
+    """A registered scalar function. Null if an argument is, except for those of SKIP_NULLS."""
 
     name: str
     args: tuple[Expr, ...]
@@ -468,9 +490,7 @@ class Call(Expr):
 
     def eval_row(self, row):
         v = [a.eval_row(row) for a in self.args]
-        if self.name == "coalesce":
-            return next((x for x in v if x is not None), None)
-        return None if None in v else FUNCTIONS[self.name][1](*v)
+        return None if self.name not in SKIP_NULLS and any(x is None for x in v) else FUNCTIONS[self.name][1](*v)
 
     def to_sql(self) -> str:
         return FUNCTIONS[self.name][2].format(*[a.to_sql() for a in self.args], all=", ".join(a.to_sql() for a in self.args))
@@ -478,6 +498,8 @@ class Call(Expr):
 
 #: Functions whose later arguments may be columns too.
 _COLUMNS_ONLY = {"coalesce", "concat", "least", "greatest"}
+#: Functions that pass over null arguments.
+SKIP_NULLS = {"coalesce", "least", "greatest"}
 
 
 @dataclass(frozen=True, eq=False)

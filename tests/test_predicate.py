@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Row
 
 from sluice.functions import call
-from sluice.predicate import And, Between, Case, Cast, Cmp, Contains, InSet, InTuples, IsNull, Like, Lit, Not, Or, all_of, any_of, col, implied_pins, lit, nnf, pinned, row_predicate, simplify, weaken
+from sluice.predicate import And, Arith, Between, Case, Cast, Cmp, Contains, InSet, InTuples, IsNull, Like, Lit, Not, Or, all_of, any_of, col, implied_pins, lit, nnf, pinned, row_predicate, simplify, truth, weaken
 
 DOMAIN = {"a": [None, 0, 1], "b": [None, 0, 1], "s": [None, "a", "ab"]}
 ROWS = [dict(zip(DOMAIN, v, strict=True)) for v in itertools.product(*DOMAIN.values())]
@@ -65,6 +65,32 @@ def test_spark_and_sql_give_what_python_gives(spark):
                 assert sql[(g.a, g.b, g.s)][i] == pytest.approx(g[f"c{i}"]) if g[f"c{i}"] is not None else sql[(g.a, g.b, g.s)][i] is None, (e.to_sql(), row)
 
 
+@pytest.fixture(scope="module")
+def odd_values(spark):
+    numbers, texts = [None, -2.5, -0.5, 0.0, 0.5, 1.5, 2.5, 2.675, float("nan"), float("inf")], [None, "", " a ", "abc", "ba,b", "\u00e9x"]
+    rows = [{"x": x, "y": y, "n": n, "s": s} for x in numbers for y in numbers for n, s in zip([None, -15, 25, 3, 0, 7], texts, strict=True)]
+    return rows, spark.createDataFrame([tuple(r.values()) for r in rows], "x double, y double, n int, s string")
+
+
+def test_the_evaluator_gives_what_spark_gives(odd_values):
+    x, y, n, s = col("x"), col("y"), col("n"), col("s")
+    exprs = [
+        call("least", x, y, 1.0), call("greatest", x, y), call("round", x, 0), call("round", x, 1), call("round", n, -1), call("coalesce", x, y, 3.0), call("abs", x), Arith("min", x, y), Arith("max", x, y), x / y,
+        x < y, x <= y, x == y, x != y, x > y, Cmp("<=>", x, y), Between(x, y, lit(2.0)), InSet(x, (2.5, 0.0)), call("length", s), call("upper", s), call("trim", s), call("concat", s, s),
+        call("substring", s, 0, 2), call("substring", s, 2, 1), call("substring", s, -2, 2), call("substring", s, -9, 8), call("replace", s, "b", ""), call("split_part", s, ",", 2), call("regexp_extract", s, "(b)(,?)", 2), Cast(s, "int"), Like(s, "%b_"), s.contains("b"), IsNull(s)]
+    rows, df = odd_values
+    out = df.select("*", *[e.to_column().alias(f"c{i}") for i, e in enumerate(exprs)]).collect()
+    for row, got in zip(rows, out, strict=True):
+        for i, e in enumerate(exprs):
+            v, w = e.eval_row(row), got[f"c{i}"]
+            assert v == w or (v != v and w != w), (e, row, v, w)
+
+
+def test_constants_are_folded_as_spark_folds_them(spark):
+    assert truth(call("round", lit(2.5), 0) == 3.0) is True and truth(call("least", Lit(None), 5.0) == 5.0) is True and truth(call("greatest", Lit(None), 5.0) == 5.0) is True
+    assert truth(Lit(float("nan")) == float("nan")) is True and truth(Lit(None) == 1) is None and truth(InSet(lit(1), (2, None))) is None and truth(lit("1") == 1) is True
+
+
 def test_substitution_is_simultaneous():
     p = (col("a") == 1) & (col("b") == 2)
     assert p.substitute({"a": col("b"), "b": col("a")}).to_sql() == '(("b" = 1) AND ("a" = 2))'
