@@ -54,22 +54,39 @@ def sorted_buckets(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: Lines of a store that each of its buckets holds at most, on average, before their number is doubled.
+BUCKET_LINES = 4_000_000
+
+
 class LineRuns:
     """The levels of runs, a store in the shared folder that outlasts executors.
 
+    `counted` are the runs of lines that are not known to be frequent, `known` those of
+    lines that are. A batch is merge-anti-joined with the known ones; what is left is added
+    to the counted runs, and those of its lines whose documents, summed over all runs,
+    reach `enough` become known. So no run is ever rewritten but by compaction.
+
     With a path it outlasts the process too: a later LineRuns of that path goes on with
-    the runs it finds there. What the store holds is what its newest manifest names, so
-    a step that was cut short leaves the store as it was. One process adds at a time.
+    the runs it finds there. What the store holds is what its newest manifest names; one
+    is written for a whole call, with the call's name, so a call that was cut short leaves
+    the store as it was, and one that is made again is known. One process adds at a time.
     """
 
     def __init__(self, spark: SparkSession, enough: int, fanout: int = 2, path: str | None = None):
         self.spark, self.enough, self.fanout, self.own = spark, enough, fanout, path is None
         self.path = path.rstrip("/") if path else scratch_path(spark, "runs")
-        self.levels: list[list[str]] = [[]]
-        self.version, self.buckets = 0, partitions(spark)
+        self.counted: list[list[str]] = [[]]
+        self.known: list[list[str]] = [[]]
+        self.calls: list[str] = []
+        self.version, self.buckets, self.lines = 0, partitions(spark), 0
+        self.made: set[str] = set()
+        self.stored: set[str] = set()
         if path:
             self._open()
 
+    def _all(self) -> list[str]:
+        return [r for levels in (self.counted, self.known) for level in levels for r in level]
+
     def _open(self) -> None:
         folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -77,26 +94,45 @@ class LineRuns:
             return
         found = [json.loads(r["value"]) for r in self.spark.read.text(f"{self.path}/manifest-*").collect()]  # two at most
         newest = max(found, key=lambda x: x["version"])
-        self.version, self.levels, self.buckets = newest["version"], newest["levels"], newest["buckets"]
-        for run in (r for level in self.levels for r in level):
+        for name in ("version", "counted", "known", "calls", "buckets", "lines"):
+            setattr(self, name, newest[name])
+        self.stored = set(self._all())
+        for left in files.listStatus(folder):  # by a process that was killed
+            if left.getPath().getName().startswith("sluice_run_") and left.getPath().getName() not in self.stored:
+                files.delete(left.getPath(), True)
+        for run in self.stored:
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (line BINARY, n_docs BIGINT) USING parquet CLUSTERED BY (line) SORTED BY (line) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
 
-    def _commit(self, gone: list[str]) -> None:
-        """Name the runs that now count, then delete those that don't."""
-        self.version += 1
-        text = json.dumps({"version": self.version, "levels": self.levels, "buckets": self.buckets})
+    def commit(self, call: str) -> None:
+        """Name the runs that now count, and the call; then delete those that don't count any more."""
+        if self.lines > BUCKET_LINES * self.buckets:
+            self._double()
+        self.version, self.calls = self.version + 1, [*self.calls, call]
+        text = json.dumps({name: getattr(self, name) for name in ("version", "counted", "known", "calls", "buckets", "lines")})
         self.spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(f"{self.path}/manifest-{self.version:08d}")
         remove(self.spark, f"{self.path}/manifest-{self.version - 1:08d}")
-        for run in gone:
+        self.drop((self.stored | self.made) - set(self._all()))
+        self.stored, self.made = set(self._all()), set()
+
+    def drop(self, runs: set[str]) -> None:
+        for run in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {run}")
             remove(self.spark, f"{self.path}/{run}")
 
     def _write(self, rows: DataFrame) -> str:
         """A new run of rows that lie in their buckets' tasks."""
         name = f"sluice_run_{uuid.uuid4().hex}"
+        self.made.add(name)
         rows.select("line", "n_docs").write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "line").sortBy("line").saveAsTable(name)
         return name
 
+    def _double(self) -> None:
+        """All runs anew, in twice as many buckets: done so rarely that each line is rewritten once or twice for it."""
+        while self.lines > BUCKET_LINES * self.buckets:
+            self.buckets *= 2
+        for levels in (self.counted, self.known):
+            levels[:] = [[self._write(self.spark.table(r).repartition(self.buckets, "line")) for r in level] for level in levels]
+
     def merged(self, a: str, b: str) -> DataFrame:
         """The merge join of two runs."""
         x, y = self.spark.table(a).alias("x"), self.spark.table(b).hint("merge").alias("y")
@@ -105,56 +141,61 @@ class LineRuns:
         return both.select(F.coalesce("x.line", "y.line").alias("line"), count.alias("n_docs"))
 
     def unknown(self, batch: DataFrame) -> DataFrame:
-        """The rows of a batch whose line no run holds as frequent, in their buckets' tasks."""
+        """The rows of a batch whose line isn't known to be frequent, in their buckets' tasks."""
         batch = batch.repartition(self.buckets, "line")
-        for run in (r for level in self.levels for r in level):
-            batch = batch.join(self.spark.table(run).filter(F.col("n_docs") >= self.enough).hint("merge"), "line", "left_anti")
+        for run in (r for level in self.known for r in level):
+            batch = batch.join(self.spark.table(run).hint("merge"), "line", "left_anti")
         return batch
 
-    def _one_of(self, runs: list[str]) -> tuple[str, list[str]]:
-        """(one run of all the runs, the runs that it replaces)."""
-        one, gone = runs[0], []
-        for run in runs[1:]:
-            gone += [one, run]
-            one = self._write(self.merged(one, run))
-        return one, gone
+    def reached(self, run: str) -> DataFrame:
+        """Of a run, the lines that `enough` documents of all counted runs hold: one merge join with each, which only streams."""
+        out = self.spark.table(run)
+        for other in (r for level in self.counted for r in level if r != run):
+            theirs = self.spark.table(other).select(F.col("line").alias("of"), F.col("n_docs").alias("more")).hint("merge")
+            out = out.join(theirs, F.col("line") == F.col("of"), "left").select("line", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"))
+        return out.filter(F.col("n_docs") >= self.enough)
+
+    def _compact(self, levels: list[list[str]]) -> None:
+        """Every level with `fanout` runs becomes one run of the next."""
+        i = 0
+        while i < len(levels):
+            if len(levels[i]) >= self.fanout:
+                if i + 1 == len(levels):
+                    levels.append([])
+                one, *rest = levels[i]
+                for run in rest:
+                    one = self._write(self.merged(one, run))
+                levels[i + 1].append(one)
+                levels[i] = []
+            i += 1
 
     def add(self, batch: DataFrame) -> None:
-        """Take in a batch's (line, n_docs), each line once. Lines that a run holds as frequent need no more counting."""
+        """Take in a batch's (line, n_docs), each line once. It counts for good with the next commit."""
         with sorted_buckets(self.spark):
-            self.levels[0].append(self._write(self.unknown(batch)))
-            gone = []
-            for i in range(len(self.levels)):
-                if len(self.levels[i]) >= self.fanout:
-                    if i + 1 == len(self.levels):
-                        self.levels.append([])
-                    one, old = self._one_of(self.levels[i])
-                    self.levels[i + 1].append(one)
-                    self.levels[i], gone = [], gone + old
-        self._commit(gone)
+            run = self._write(self.unknown(batch))
+            self.lines += self.spark.table(run).count()  # of the files' footers
+            self.counted[0].append(run)
+            self.known[0].append(self._write(self.reached(run)))
+            self._compact(self.counted)
+            self._compact(self.known)
 
     def frequent(self) -> DataFrame:
-        """The lines of at least `enough` documents, written. A line may be frequent only in all runs together, so these are merged."""
-        runs = [r for level in self.levels for r in level]
-        if not runs:
-            return self.spark.createDataFrame([], "line binary")
-        with sorted_buckets(self.spark):
-            one, made = self._one_of(runs)
-            out = materialize(self.spark.table(one).filter(F.col("n_docs") >= self.enough).select("line"), "frequent")
-        for run in {one, *made} - set(runs):
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-            remove(self.spark, f"{self.path}/{run}")
-        return out
+        """The lines of at least `enough` documents, written: those of the known runs, which have no line in common."""
+        out = self.spark.createDataFrame([], "line binary")
+        for run in (r for level in self.known for r in level):
+            out = out.unionByName(self.spark.table(run).select("line"))
+        return materialize(out, "frequent")
 
     def close(self) -> None:
-        """Forget the tables; delete the runs too if the store has no path of its own."""
-        for run in (r for level in self.levels for r in level):
+        """Forget the tables; delete what was made and not committed, and all runs if the store has no path of its own."""
+        self.drop(self.made)
+        for run in self._all():
             self.spark.sql(f"DROP TABLE IF EXISTS {run}")
         if self.own:
             remove(self.spark, self.path)
 
 
-def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int = 4, fanout: int = 2, text_col: str = "text", store: str | None = None) -> DataFrame:
+def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int = 4, fanout: int = 2, text_col: str = "text", store: str | None = None, call: str | None = None) -> DataFrame:
     """df with lines (struct): n_lines, n_dropped, kept (the text of the lines that stay).
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case.
@@ -165,7 +206,10 @@ def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int =
     column named lines is replaced. An empty table gives no rows.
 
     df is counted in so many batches. With a store, a path of the shared folder, the
-    documents of earlier calls count too, and these are added for later ones.
+    documents of earlier calls count too, and these are added for later ones. A call is
+    added once: made again under its name, or, without one, over the same lines, it finds
+    its documents counted, whether the first attempt ended or failed half-way. Give `call`
+    where the same documents are to count again.
 
     Lines travel as hashes of 16 bytes. A document's frequent lines come back to it as
     places, by doc_id and a hash of its text; only documents that a Bloom filter lets
@@ -179,10 +223,17 @@ def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int =
     held = docs.select(F.pmod(F.xxhash64("id", "text_hash"), F.lit(batches)).alias("batch"), F.explode(F.array_distinct(F.array_compact(hashes))).alias("line"))
     counts = materialize(held.groupBy("batch", "line").agg(F.count(F.lit(1)).alias("n_docs")), "lines")
     runs = LineRuns(df.sparkSession, enough, fanout, store)
-    for b in range(batches):
-        runs.add(counts.filter(F.col("batch") == b).select("line", "n_docs"))
-    frequent = runs.frequent()
-    runs.close()
+    try:
+        if store and call is None:
+            call = "lines-{n}-{all}".format(**counts.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("line", "n_docs", "batch")).alias("all")).first().asDict())
+        if call not in runs.calls:
+            for b in range(batches):
+                runs.add(counts.filter(F.col("batch") == b).select("line", "n_docs"))
+            if store:
+                runs.commit(call)
+        frequent = runs.frequent()
+    finally:
+        runs.close()
     places = docs.select("id", "text_hash", F.posexplode(hashes).alias("place", "line")).filter("line IS NOT NULL").join(frequent, "line", "left_semi")
     drops = materialize(places.groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.collect_set("place").alias("drops")), "drops")
     may, stay = split_by_filter(docs, "text_hash", drops, "of_hash")
@@ -197,16 +248,16 @@ def dedup_lines(df: DataFrame, enough: int = 10, least: int = 1, batches: int =
     return may.unionByName(stay).select(*[F.col("doc").getField(c).alias(c) for c in names], made.alias("lines"))
 
 
-#: DuckDB SQL for the query's rows over documents.
+#: DuckDB SQL for the query's rows over documents; rows are told apart by a number, as doc_id may be null or repeated.
 ORACLE_SQL = r"""
-WITH l AS (
-  SELECT doc_id, i, s.x[i] AS line, lower_ascii.k AS k
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents) s,
-       LATERAL (SELECT unnest(range(1, len(s.x) + 1)) AS i) n,
-       LATERAL (SELECT translate(trim(s.x[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k) lower_ascii
-), f AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (
+  SELECT r, doc_id, i, d.x[i] AS line, lower_ascii.k AS k
+  FROM d, LATERAL (SELECT unnest(range(1, len(d.x) + 1)) AS i) n,
+       LATERAL (SELECT translate(trim(d.x[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k) lower_ascii
+), f AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10)
 SELECT l.doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
        sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN f ON l.k = f.k
-GROUP BY l.doc_id
+GROUP BY l.r, l.doc_id
 """

@@ -11,6 +11,7 @@ import subprocess
 import sys
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def test_runs_are_compacted_by_level(spark):
     runs = line_dedup.LineRuns(spark, enough=3, fanout=2)
     for b in range(5):
         runs.add(spark.createDataFrame([(bytes([x]), 1) for x in range(b, 5)], "line binary, n_docs long"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    assert [len(x) for x in runs.counted] == [1, 0, 1] == [len(x) for x in runs.known]
     assert sorted(bytes(r.line)[0] for r in runs.frequent().collect()) == [2, 3, 4]
     runs.close()
 
@@ -114,15 +115,74 @@ def test_stored_runs_are_neither_shuffled_nor_sorted(spark):
     runs.add(batch)
     runs.add(batch)
     with line_dedup.sorted_buckets(spark):
-        merge = runs.merged(*runs.levels[0])._jdf.queryExecution().executedPlan().toString()
+        merge = runs.merged(*runs.counted[0])._jdf.queryExecution().executedPlan().toString()
         anti = runs.unknown(batch)._jdf.queryExecution().executedPlan().toString()
+        reached = runs.reached(runs.counted[0][-1])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in merge and "Exchange" not in merge and "Sort [" not in merge
     # the batch alone is dealt and sorted, once
     assert anti.count("SortMergeJoin") == 2 and anti.count("Exchange") == 1 and anti.count("Sort [") == 1
+    assert reached.count("SortMergeJoin") == 1 and "Exchange" not in reached and "Sort [" not in reached
     assert runs.frequent().count() == 500
     runs.close()
 
 
+def dropped(out):
+    return sorted((r.doc_id, r.lines.n_dropped) for r in out.collect())
+
+
+def test_a_repeated_call_counts_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"Menu\nin five {i % 6}\nown {i}") for i in range(30)], "doc_id long, text string")
+    store = f"file://{tmp_path}/store"
+    first = dropped(line_dedup.dedup_lines(df, store=store))
+    assert first == [(i, 1) for i in range(30)]
+    assert dropped(line_dedup.dedup_lines(df, store=store)) == first
+    assert dropped(line_dedup.dedup_lines(df.repartition(3), store=store)) == first
+    assert dropped(line_dedup.dedup_lines(df, store=store, call="again")) == [(i, 2) for i in range(30)]
+
+
+def test_a_call_that_fails_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    store, add, times = f"file://{tmp_path}/store", line_dedup.LineRuns.add, []
+    before = spark.createDataFrame([(i, f"Menu\nold {i % 2}") for i in range(8)], "doc_id long, text string")
+    line_dedup.dedup_lines(before, store=store)
+    names = lambda: sorted(x.name for x in (tmp_path / "store").iterdir())
+    held = names()
+
+    def failing(self, batch):
+        times.append(1)
+        if len(times) == 3:
+            raise RuntimeError("lost")
+        add(self, batch)
+
+    df = spark.createDataFrame([(i, "Menu\nnew") for i in range(9)], "doc_id long, text string")
+    monkeypatch.setattr(line_dedup.LineRuns, "add", failing)
+    with pytest.raises(RuntimeError):
+        line_dedup.dedup_lines(df, store=store)
+    assert names() == held
+    assert dropped(line_dedup.dedup_lines(df, store=store)) == [(i, 1) for i in range(9)]
+
+
+def test_buckets_double_as_a_store_grows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(line_dedup, "BUCKET_LINES", 5)
+    df = spark.createDataFrame([(i, f"Menu\nown {i}") for i in range(100)], "doc_id long, text string")
+    store = f"file://{tmp_path}/store"
+    assert dropped(line_dedup.dedup_lines(df, store=store)) == [(i, 1) for i in range(100)]
+    runs = line_dedup.LineRuns(spark, 10, path=store)
+    assert runs.lines > 5 and runs.lines <= 5 * runs.buckets < 4 * runs.lines + 5 * 8
+    assert len(runs.calls) == 1
+    runs.close()
+    assert dropped(line_dedup.dedup_lines(df.limit(3), store=store, call="more")) == [(i, 1) for i in range(3)]
+
+
+def test_lines_of_odd_rows_match_the_sql(spark):
+    rows = [(1, "Menu\nown")] * 10 + [(None, "Home \n\nx")] * 12 + [(2, None), (2, ""), (3, "menu"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.dedup_lines(df).select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.kept").cast("binary"), 256).alias("kept_sha256"))
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    want = con.sql(line_dedup.ORACLE_SQL).fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want) and sum(r[2] for r in want) > 20
+
+
 STORE = r"""
 import sys
 from pyspark.sql import SparkSession
