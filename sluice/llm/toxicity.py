@@ -6,8 +6,8 @@ by how many bytes the second way is shorter is the window's distance. A calibrat
 logistic threshold turns the distribution of a text's distances into its score.
 
 Toxic documents are ordinary for the most part, so the toxic dictionary is trained on
-those of their windows that the ordinary dictionary compresses badly. A window that
-shares no run of RUN bytes with the toxic dictionary isn't compressed: its distance is 0.
+those of their windows that the ordinary dictionary compresses badly. Every window of
+every text is compressed both ways.
 """
 
 from __future__ import annotations
@@ -36,9 +36,6 @@ STEPS = tuple(range(1, 10))
 SIZES = (65_536, 4_096)
 #: The quantile of the lengths of ordinary windows from which on a toxic document's window is trained on.
 STRANGE = 0.9
-#: A window that shares no run of so many bytes with the toxic dictionary has distance 0: shorter matches hardly pay.
-RUN = 6
-
 #: Parts of the labelled sample that take turns in being left out of the dictionaries.
 FOLDS = 3
 
@@ -49,12 +46,27 @@ def folded(text: bytes | None) -> bytes:
     return b" " + b" ".join(words) + b" " if words else b""
 
 
+#: A raw dictionary needs the trainer's segments alone, without the magic number and tables that a trained one begins with.
+MAGIC = b"\x37\xa4\x30\xec"
+#: Less text than so many times a dictionary's size is no choice to train on: the text itself is the dictionary.
+LEAST_TEXT = 8
+
+
 def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
-    """The content of a dictionary of segments of k bytes, picked by how often the samples hold their runs of d bytes; empty if there is too little to train on."""
-    try:
-        return zstandard.train_dictionary(size, [x for x in samples if len(x) >= 8], k=k, d=d, level=3).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b""
+    """The content of a dictionary of segments of k bytes, picked by how often the samples hold their runs of d bytes."""
+    samples = [x for x in samples if len(x) >= 8]
+    if len(samples) < 5 or sum(map(len, samples)) < LEAST_TEXT * size:
+        return b"".join(samples)[-size:]
+    made = zstandard.train_dictionary(size, samples, k=k, d=d, level=3)
+    return content_of(made.as_bytes())
+
+
+def content_of(dictionary: bytes) -> bytes:
+    """A trained dictionary without its header: what follows the entropy tables, whose last part are the three repeat offsets 1, 4 and 8."""
+    if dictionary[:4] != MAGIC:
+        return dictionary
+    offsets = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
+    return dictionary[dictionary.index(offsets, 8) + len(offsets) :]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -110,7 +122,7 @@ class Dictionaries:
         """From folded texts of either label."""
         base = trained([x[i : i + 64] for x in ordinary for i in range(0, len(x), 64)], SIZES[0], 16, 6)
         c = compressor(base)
-        usual = lengths(c, *laid_out(ordinary[:: max(1, len(ordinary) // 200)])[:3])
+        usual = lengths(c, *laid_out(ordinary)[:3])
         strange = np.quantile(usual, STRANGE) if len(usual) else 0
         text, starts, sizes, _ = laid_out(toxic)
         whole, odd = text.tobytes(), lengths(c, text, starts, sizes) >= strange
@@ -118,39 +130,16 @@ class Dictionaries:
         return cls(base, trained(own, SIZES[1], 12, 8))
 
 
-def runs_of(text: np.ndarray) -> np.ndarray:
-    """The runs of RUN bytes of a text, as integers."""
-    out = np.zeros(max(0, len(text) - RUN + 1), np.uint64)
-    for k in range(RUN):
-        out = out << np.uint64(8) | text[k : k + len(out)]
-    return out
-
-
 class Distances:
     """By how many bytes windows get shorter where the toxic dictionary is at hand beside the ordinary one."""
 
     def __init__(self, d: Dictionaries):
         self.ordinary, self.both = compressor(d.ordinary), compressor(d.ordinary + d.toxic)
-        self.runs = np.unique(runs_of(np.frombuffer(d.toxic, np.uint8)))
-
-    def shared(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Which windows share a run with the toxic dictionary."""
-        out = np.zeros(len(starts), bool)
-        for lo in range(0, len(starts) if len(self.runs) else 0, AT_ONCE):
-            at, size = starts[lo : lo + AT_ONCE], sizes[lo : lo + AT_ONCE]
-            keys = runs_of(text[at[0] : at[-1] + size[-1]])
-            hit = self.runs[np.minimum(np.searchsorted(self.runs, keys), len(self.runs) - 1)] == keys
-            before = np.concatenate([[0], np.cumsum(hit)])
-            first = at - at[0]
-            out[lo : lo + len(at)] = before[np.minimum(first + np.maximum(0, size - RUN + 1), len(hit))] > before[np.minimum(first, len(hit))]
-        return out
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(the distances of all windows of folded texts, the number for each text)."""
         text, starts, sizes, counts = laid_out(texts)
-        hot, out = np.flatnonzero(self.shared(text, starts, sizes)), np.zeros(len(starts), np.int8)
-        out[hot] = np.clip(lengths(self.ordinary, text, starts[hot], sizes[hot]) - lengths(self.both, text, starts[hot], sizes[hot]), -100, 100)
-        return out, counts
+        return lengths(self.ordinary, text, starts, sizes) - lengths(self.both, text, starts, sizes), counts
 
     def features(self, texts: list) -> np.ndarray:
         """A row for each text: roots of the shares of windows at each of STEPS, mean of the top three, mean, log of the number."""
@@ -208,7 +197,9 @@ def fit(df: DataFrame, labels: DataFrame, most: tuple[int, int] = (6_000, 4_000)
     few = marked.filter(F.when(F.col("toxic") == 1, sampled(share[1], "id")).otherwise(sampled(share[0], "id")))
     fold = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold")
     # Bounded by `most`, so it is broadcast.
-    rows = df.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("text", "toxic", fold)
+    rows = df.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("id"))
+    # One text for each id, however often it is repeated: the least, so that the sample keeps its bound.
+    rows = rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", fold)
     rows = materialize(rows, "labelled")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,7 +115,12 @@ def test_toxicity_on_held_out_documents(spark):
 
 def test_toxicity_of_odd_texts(odd, labels):
     rows = toxicity.toxicity(odd, labels).collect()
-    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.collect())
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 4 == 2) for r in rows)
+    score = {r.doc_id: r.score for r in rows}
+    assert score[1] == score[2] and score[3] == score[4] == score[5] and texts[1] == texts[2]
+    assert len({r.score for r in rows if r.doc_id == 2}) == 1
 
 
 def test_windows_and_distances_are_those_of_whole_compressions(spark, monkeypatch):
@@ -133,7 +138,7 @@ def test_windows_and_distances_are_those_of_whole_compressions(spark, monkeypatc
         want = []
         for w in whole:
             n, m = len(one.compress(w + toxicity.CARRIER)), len(both.compress(w + toxicity.CARRIER))
-            want.append(n - m if any(w[k : k + 6] in made.toxic for k in range(len(w) - 5)) else 0)
+            want.append(n - m)
         assert distances.of([b"", text])[0].tolist() == want
         x = distances.features([text])[0]
         assert x[:9] == pytest.approx([np.mean([v >= k for v in want]) ** 0.5 for k in range(1, 10)])
@@ -141,6 +146,15 @@ def test_windows_and_distances_are_those_of_whole_compressions(spark, monkeypatc
     assert distances.of([b""])[0].tolist() == [] and distances.features([None, b"", b" .,! "]).any() == False  # noqa: E712
 
 
+def test_dictionaries_are_pieces_of_the_samples():
+    rng = np.random.default_rng(2)
+    samples = [bytes(rng.choice(list(b"abcdefgh "), 64).astype(np.uint8)) for _ in range(2000)]
+    whole, made = b"|".join(samples), toxicity.trained(samples, 4_096, 12, 8)
+    assert toxicity.MAGIC not in made and 3_000 < len(made) <= 4_096 and all(made[i : i + 8] in whole or any(made[i : i + k] in whole and made[i + k : i + 8] in whole for k in range(1, 8)) for i in range(len(made) - 8))
+    few = [b"only three", b"texts", b"of some length"]
+    assert toxicity.trained(few, 4_096, 12, 8) == b"only threeof some length" and toxicity.trained([], 4_096, 12, 8) == b""
+
+
 def test_a_word_of_toxic_text_shortens_its_window():
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
