@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from ..pipeline import Pipeline
 from ..predicate import FALSE, And, Expr, Lit, any_of, pinned, simplify
 from ..sources.scratch import stored
 from .pushdown import Pushed, push_down
+from .sideways import join_tree, outwards, reduced
 from .snapshot import SnapshotStore
 
 
@@ -53,33 +55,39 @@ def without_limits(pipeline: Pipeline, pushed: dict[Node, Pushed]) -> Pipeline:
     return pipeline.replacing(fixed) if fixed else pipeline
 
 
-def lineage(pipeline: Pipeline, f: Expr, mode: str = "auto", snapshots: SnapshotStore | None = None, check_exists: bool = True) -> Lineage:
+def lineage(pipeline: Pipeline, f: Expr, mode: str = "auto", snapshots: SnapshotStore | None = None, check_exists: bool = True, tables: Collection[str] | None = None) -> Lineage:
     """The source rows that the result rows selected by f were made from.
 
     mode: `pushdown` applies the pushed predicates alone and says where they are
-    supersets; `auto` narrows those by running the pipeline over the pruned sources with
-    row identities; `snapshot` first looks up what is missing in snapshots; `eager`
+    supersets; `auto` narrows those: by semi-joins along the joins where these give the
+    lineage, else by running the pipeline, over sources that are pruned and reduced by
+    one another, with row identities; `snapshot` first looks up what is missing in snapshots; `eager`
     tracks everything. f is tested to select a row at all (a pushed predicate is only
-    right for rows that exist); check_exists=False saves that for a row that was seen.
+    right for rows that exist); check_exists=False saves that for a row that was seen. tables: those asked for, by
+    default all; nothing is computed for the others.
     """
     if mode not in ("auto", "pushdown", "snapshot", "eager"):
         raise KeyError(mode)
     if mode == "snapshot" and snapshots is None:
         raise ValueError("snapshot mode needs a SnapshotStore")
     if mode == "eager":
-        return eager_lineage(pipeline, f)
+        return eager_lineage(pipeline, f, tables)
     pushed = push_down(pipeline, f, snapshots.known(pipeline, f) if mode == "snapshot" else None)
     if check_exists and pipeline.pruned({s: pushed[s].prune for s in pipeline.sources}).filter(f.to_column()).isEmpty():
         pushed = {n: Pushed() for n in pipeline.nodes}
     by_table: dict[str, list[Node]] = {}
     for s in pipeline.sources:
-        by_table.setdefault(s.table, []).append(s)
+        if tables is None or s.table in tables:
+            by_table.setdefault(s.table, []).append(s)
     loose = {t for t, nodes in by_table.items() if max(pushed[n].status for n in nodes) > Status.EXACT}
-    ids = None
+    ids = tree = None
     if loose and mode != "pushdown":
         traced = without_limits(pipeline, pushed)
         pruning = pushed if traced is pipeline else push_down(traced, f)
-        tracked = traced.tracked({s: _both(pushed[s], pruning[s]) for s in pipeline.sources})
+        tree = join_tree(traced, pruning)
+    if loose and mode != "pushdown" and not tree:
+        filters = {s: _both(pushed[s], pruning[s]) for s in pipeline.sources}
+        tracked = traced.tracked(reduced(traced.identified(filters), outwards(traced, filters)))
         ids = tracked.filter(f.to_column()).select(F.explode(LINEAGE).alias("l")).select("l.source", "l.rid").filter(F.col("source").isin(sorted(loose))).distinct()
         if len(loose) > 1:  # read once for each table, so run once
             ids = stored(ids, "lineage")
@@ -87,7 +95,9 @@ def lineage(pipeline: Pipeline, f: Expr, mode: str = "auto", snapshots: Snapshot
     for table, nodes in by_table.items():
         predicate = simplify(any_of([p for n in nodes if not (isinstance(p := pushed[n].predicate, Lit) and p.value is False)])) if nodes else FALSE
         status, reasons = max(pushed[n].status for n in nodes), [r for n in nodes for r in pushed[n].reasons]
-        if table in loose and ids is not None:
+        if table in loose and tree:
+            out[table] = SourceLineage(table, predicate, status, reasons, tree.rows({s: s.frame(pipeline.spark) for s in pipeline.sources}, nodes[0]), True)
+        elif table in loose and ids is not None:
             own = nodes[0].identified(pipeline.spark).filter(predicate.to_column())
             mine = ids.filter(F.col("source") == table).select(F.col("rid").alias(RID))
             # Which side is broadcast is left to the optimizer: a predicate's lineage may be large.
@@ -102,12 +112,12 @@ def _both(one: Pushed, other: Pushed) -> Expr:
     return simplify(And(one.prune, other.prune))
 
 
-def eager_lineage(pipeline: Pipeline, f: Expr) -> Lineage:
+def eager_lineage(pipeline: Pipeline, f: Expr, tables: Collection[str] | None = None) -> Lineage:
     """By tracking row identities through every operator: the baseline, and the measure of the other ways."""
     ids = pipeline.tracked().filter(f.to_column()).select(F.explode(LINEAGE).alias("l")).select("l.source", "l.rid")
     out = {}
     for s in pipeline.sources:
-        if s.table not in out:
+        if s.table not in out and (tables is None or s.table in tables):
             mine = ids.filter(F.col("source") == s.table).select(F.col("rid").alias(RID)).distinct()
             out[s.table] = SourceLineage(s.table, FALSE, Status.EXACT, [], s.identified(pipeline.spark).join(mine, RID, "left_semi").drop(RID), True)
     return Lineage(out)

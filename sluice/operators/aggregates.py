@@ -55,6 +55,9 @@ class GroupBy(Node):
     def updated(self):
         return frozenset(a.alias for a in self.aggs)
 
+    def comes_from(self, column, columns):
+        return (0, column, True) if column in self.by else None
+
     def push(self, f, columns, out):
         return [group_push(self, f, self.by, out)]
 

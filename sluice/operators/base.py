@@ -73,6 +73,14 @@ class Node:
         """Columns that the operator makes or overwrites, known from the operator and not from schemas."""
         return frozenset()
 
+    def comes_from(self, column: str, columns: Sequence[Sequence[str]]) -> tuple[int, str, bool] | None:
+        """(input, its column, apart) whose values an output column holds; None if it holds others too.
+
+        apart: input rows may be left out by that column's values, and then just the output
+        rows with those values are missing.
+        """
+        return None
+
     def keys(self, keys: Sequence[set[frozenset[str]]], columns: Sequence[Sequence[str]]) -> set[frozenset[str]]:
         """Unique keys of the output, from those of the inputs."""
         changed = self.updated()

@@ -95,6 +95,15 @@ class Join(Node):
             pushes.append(Push(local.substitute(back), status, reason, prune.substitute(back)))
         return pushes
 
+    def comes_from(self, column, columns):
+        ln, rn = self.names(columns)
+        for i, own in enumerate((ln, rn)):
+            old = next((c for c in columns[i] if own[c] == column), None)
+            # The values of an optional side's columns may be padding.
+            if old is not None:
+                return (i, old, True) if self.how in ("inner", ("left", "right")[i]) else None
+        return None
+
     def required(self, i):
         return self.how == "inner" or self.how == ("left", "right")[i]
 
@@ -150,6 +159,9 @@ class SemiJoin(Node):
 
     anti = False
 
+    def comes_from(self, column, columns):
+        return (0, column, True) if column in columns[0] else None
+
     def required(self, i):
         return i == 0 or not self.anti
 

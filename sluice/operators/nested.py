@@ -70,6 +70,9 @@ class SetItemWithDependency(Node):
     def updated(self):
         return frozenset({self.new_col})
 
+    def comes_from(self, column, columns):
+        return (0, column, True) if column != self.new_col and column in columns[0] else None
+
     def push(self, f, columns, out):
         others = [Push(TRUE) for _ in self.names]
         if self.new_col not in f.columns():
@@ -97,6 +100,9 @@ class SubpipeInput(Node):
     def build(self, df):
         return df
 
+    def comes_from(self, column, columns):
+        return 0, column, True
+
     def push(self, f, columns, out):
         return [Push(f)]
 
@@ -196,6 +202,9 @@ class CrosstableUDF(Node):
     def required(self, i):
         return i == 0
 
+    def comes_from(self, column, columns):
+        return (0, column, True) if column != self.new_col and column in columns[0] else None
+
     def updated(self):
         return frozenset({self.new_col})
 

@@ -78,6 +78,9 @@ class UnPivot(Node):
     def updated(self):
         return frozenset({self.var_name, self.value_name})
 
+    def comes_from(self, column, columns):
+        return (0, column, True) if column in self.ids else None
+
     def push(self, f, columns, out):
         # A row is asked for if any of the rows it becomes is.
         return [Push(simplify(any_of(_decided(f.substitute({self.var_name: Lit(v), self.value_name: Field(v)})) for v in self.vars)))]
@@ -111,6 +114,9 @@ class SortValues(Node):
     def _order(self):
         return [name(c).desc_nulls_last() if d else name(c).asc_nulls_last() for c, d in zip(self.cols, self.desc, strict=True)]
 
+    def comes_from(self, column, columns):
+        return 0, column, not isinstance(self, TopN)
+
     def build(self, df):
         return df.orderBy(*self._order())
 

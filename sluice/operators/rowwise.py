@@ -22,6 +22,12 @@ class RowWise(Node):
     def updated(self) -> frozenset[str]:
         return frozenset(self.expressions())
 
+    def comes_from(self, column, columns):
+        made = self.expressions().get(column)
+        if made is None:
+            return (0, column, True) if column in columns[0] else None
+        return (0, made.name, True) if isinstance(made, Field) else None
+
     def build(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: e.to_column() for c, e in self.expressions().items()})
 

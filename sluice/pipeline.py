@@ -58,14 +58,18 @@ class Pipeline:
                 made[n] = n.build(*[made[i] for i in n.inputs])
         return made[self.sink]
 
-    def tracked(self, filters: Mapping[Node, Expr] | None = None, node: Node | None = None) -> DataFrame:
-        """The result with LINEAGE: for each row, the source rows it was made from."""
+    def identified(self, filters: Mapping[Node, Expr] | None = None) -> dict[Node, DataFrame]:
+        """The sources with RID, filtered."""
+        out = {s: s.identified(self.spark) for s in self.sources}
+        return {s: df.filter(filters[s].to_column()) if filters and s in filters else df for s, df in out.items()}
+
+    def tracked(self, frames: Mapping[Node, DataFrame] | None = None, node: Node | None = None) -> DataFrame:
+        """The result with LINEAGE: for each row, the source rows it was made from. frames: the sources with RID, without rows that don't matter."""
         made: dict[Node, DataFrame] = {}
+        frames = frames or self.identified()
         for n in self.nodes:
             if isinstance(n, Source):
-                df = n.identified(self.spark)
-                if filters and n in filters:
-                    df = df.filter(filters[n].to_column())
+                df = frames[n]
                 made[n] = df.withColumn(LINEAGE, F.array(F.struct(F.lit(n.table).alias("source"), F.col(RID).alias("rid")))).drop(RID)
             else:
                 made[n] = n.track(*[made[i] for i in n.inputs])

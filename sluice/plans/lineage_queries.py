@@ -47,7 +47,7 @@ def ask(make: Callable[[Tables], Node], table: str, mode: str, which: Sequence[s
 
             store = SnapshotStore(scratch_folder(spark, "snapshots"))
             store.build(p)
-        return lineage(p, f, mode, store, check_exists=isinstance(which, Expr))[table].rows
+        return lineage(p, f, mode, store, check_exists=isinstance(which, Expr), tables=[table])[table].rows
 
     return run
 

@@ -193,7 +193,7 @@ def test_a_fixed_limit_lets_the_row_prune_below_it(spark, small):
     assert not any(isinstance(n, TopN) for n in q.nodes) and q.sources == p.sources
     below = {n.table: x.prune.to_sql() for n, x in push_down(q, row_predicate(row)).items() if n in q.sources}
     assert str(row.c_custkey) in below["customer"] and '"o_custkey" IS NOT DISTINCT FROM' in below["orders"] and row.n_name in below["nation"]
-    plan = q.tracked({s: push_down(q, row_predicate(row))[s].prune for s in q.sources})._jdf.queryExecution().executedPlan().toString()
+    plan = q.tracked(q.identified({s: push_down(q, row_predicate(row))[s].prune for s in q.sources}))._jdf.queryExecution().executedPlan().toString()
     assert re.search(rf"o_custkey#\d+L <=> {row.c_custkey}\)", plan) and "TakeOrdered" not in plan
 
 
