@@ -157,6 +157,15 @@ class AllAggregate(Node):
         return {frozenset()}
 
 
+def has_map(kind: str) -> bool:
+    return "map<" in kind
+
+
+def sortable(df: DataFrame, column: str) -> Column:
+    """What a column is ordered by: itself, or, where it holds maps, which have no order, its text."""
+    return F.when(name(column).isNotNull(), F.to_json(F.struct(name(column)))) if has_map(dict(df.dtypes)[column]) else name(column)
+
+
 class DropDuplicate(Node):
     """One row for each value of cols: the first by `order`, then by all columns, so reruns agree.
 
@@ -171,12 +180,12 @@ class DropDuplicate(Node):
     def _window(self, df: DataFrame):
         own = data_columns(df)
         order = [*self.order, *[c for c in own if c not in self.order and c not in self.cols]]
-        return Window.partitionBy(*[name(c) for c in self.cols]).orderBy(*([name(c).asc_nulls_last() for c in order] or [F.lit(1)]))
+        return Window.partitionBy(*[name(c) for c in self.cols]).orderBy(*([sortable(df, c).asc_nulls_last() for c in order] or [F.lit(1)]))
 
     def build(self, df):
         own = data_columns(df)
         order = [*self.order, *[c for c in own if c not in self.order and c not in self.cols]]
-        if any(t.startswith("map") for c, t in df.dtypes if c in order) or LINEAGE in df.columns:  # maps have no order
+        if any(has_map(t) for c, t in df.dtypes if c in order) or LINEAGE in df.columns:  # maps have no least one
             return df.withColumn("__n", F.row_number().over(self._window(df))).filter("__n = 1").drop("__n")
         # The least row of each key, combined before the shuffle; nulls last, as a flag in front of each column.
         parts = [x for i, c in enumerate(order) for x in (name(c).isNull().alias(f"n{i}"), name(c).alias(f"c{i}"))]
@@ -212,9 +221,10 @@ class DropDuplicate(Node):
 class CumAggr(Node):
     """A running aggregate along an order: new_col is fn of column over the rows so far, ties by all columns.
 
-    Without partition_by the order is global. It is cut into ranges at quantiles of the
-    first order column; each range is summed up on its own and gets the total of those
-    before it, so no task holds the whole input. Rows equal in that column stay together.
+    Without partition_by the order is global. It is cut into ranges of the whole order,
+    ties included, so that only rows equal in all columns stay together; each range is
+    summed up on its own and gets the total of those before it, so no task holds the whole
+    input. The ranges are written once, as their bounds are sampled.
     """
 
     def __init__(self, dep: Node, column: str, fn: str, order: Sequence[str], new_col: str | None = None, partition_by: Sequence[str] = (), ranges: int = 64):
@@ -236,25 +246,18 @@ class CumAggr(Node):
 
     def build(self, df):
         own = [c for c in data_columns(df) if c != self.new_col]
-        order = [name(c).asc_nulls_last() for c in [*self.order, *[c for c in own if c not in self.order]]]
+        order = [sortable(df, c).asc_nulls_last() for c in [*self.order, *[c for c in own if c not in self.order]]]
         rows = (Window.unboundedPreceding, Window.currentRow)
         if self.by:
             return df.withColumn(self.new_col, self._fn(name(self.column)).over(Window.partitionBy(*[name(c) for c in self.by]).orderBy(*order).rowsBetween(*rows)))
-        first = name(self.order[0])
-        if dict(df.dtypes)[self.order[0]].startswith(("string", "boolean", "binary", "array", "struct", "map")):
-            value = F.rpad(F.hex(F.substring(F.encode(first.cast("string"), "UTF-8"), 1, 6)), 12, "0")
-            value = F.conv(value, 16, 10).cast("double")
-        else:
-            value = F.unix_micros(first.cast("timestamp")).cast("double") if dict(df.dtypes)[self.order[0]] in ("date", "timestamp", "timestamp_ntz") else first.cast("double")
-        cuts = df.agg(F.percentile_approx(value, [i / self.ranges for i in range(1, self.ranges)]).alias("c")).first().c or []
-        bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
-        # null order values come last
-        d = df.withColumn("__range", F.when(first.isNull(), F.lit(self.ranges)).otherwise(F.size(F.filter(bounds, lambda b: b <= value))))
+        from ..sources.scratch import stored
+
+        d = stored(df.repartitionByRange(self.ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
         totals = d.groupBy("__range").agg(self._fn(name(self.column)).alias("__total"))
         before = totals.select(F.col("__range").alias("__of"), self._fn(F.col("__total")).over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before")) if self.fn != "count" else totals.select(
             F.col("__range").alias("__of"), F.sum("__total").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
         inner = self._fn(name(self.column)).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(*rows))
-        # at most `ranges` + 1 rows, so they are broadcast
+        # at most `ranges` rows, so they are broadcast
         out = d.withColumn("__own", inner).join(F.broadcast(before), F.col("__range") == F.col("__of"))
         return out.withColumn(self.new_col, self._plus(F.col("__before"), F.col("__own"))).select(*[name(c) for c in own], name(self.new_col), *carried(d))
 

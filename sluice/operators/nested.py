@@ -178,7 +178,7 @@ class CrosstableUDF(Node):
                     test = test & (name(c) == F.col(f"__o{i}_{k}") if q.condition is None else name(c).eqNullSafe(F.col(f"__o{i}_{k}")))
                 out = out.join(values, test, "left")
                 v: Expr = Field(f"__v{i}")
-                if q.agg.fn in ("count", "count_distinct"):
+                if q.agg.fn in ("count", "count_distinct", "approx_count_distinct"):
                     out = out.withColumn(f"__v{i}", F.coalesce(f"__v{i}", F.lit(0)))
                 branches.append((p.condition, v, F.col(f"__l{i}") if lineage else None))
                 i += 1

@@ -10,7 +10,7 @@ from ..operators import (
     InnerJoin, Join, LeftOuterJoin, Node, NotIn, PipelinePath, Pivot, Rename, ScalarComputation, Select, SemiJoin, SetItem, SetItemWithDependency, SortValues, Split, SubPipeline, Subquery, SubpipeInput, TopN, UnPivot,
     agg, outer,
 )
-from ..predicate import Case, Contains, InTuples, Lit, Not, Opaque, col
+from ..predicate import Arith, Case, Cast, Contains, InTuples, Lit, Not, Opaque, col
 
 Tables = Callable[[str], Node]
 PIPELINES: dict[str, Callable[[Tables], Node]] = {}
@@ -219,6 +219,23 @@ def grouping_sets(t):
     return GroupingSets(t("lineitem"), ["l_returnflag", "l_linestatus"], [agg("count", alias="n")])
 
 
+@query("SELECT l_returnflag, l_linestatus, sum(l_linenumber) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup(t):
+    return GroupingSets(t("lineitem"), ["l_returnflag", "l_linestatus"], [agg("sum", "l_linenumber", "n")], "rollup")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def explicit_grouping_sets(t):
+    return GroupingSets(t("orders"), ["o_orderstatus", "o_orderpriority"], [agg("count", alias="n"), agg("max", "o_orderdate", "last")], [["o_orderstatus"], ["o_orderpriority"], []])
+
+
+@query(f"SELECT c_custkey, least(c_acctbal, 100.0) AS low, greatest(c_acctbal, 5000.0) AS high, least(c_acctbal, c_nationkey) AS both, greatest(c_acctbal, NULL) AS same FROM {NULLS_SQL}")
+def min_max_of_two(t):
+    c = SetItem(SetItem(with_nulls(t), "low", Arith("min", col("c_acctbal"), Lit(100.0))), "high", Arith("max", col("c_acctbal"), Lit(5000.0)))
+    c = SetItem(SetItem(c, "both", call("least", col("c_acctbal"), col("c_nationkey"))), "same", call("greatest", col("c_acctbal"), Cast(Lit(None), "double")))
+    return Select(c, ["c_custkey", "low", "high", "both", "same"])
+
+
 @query("SELECT count(*) AS n, max(o_totalprice) AS most, min(o_orderdate) AS first FROM orders")
 def all_aggregate(t):
     return AllAggregate(t("orders"), [agg("count", alias="n"), agg("max", "o_totalprice", "most"), agg("min", "o_orderdate", "first")])
@@ -241,6 +258,22 @@ def cum_sum(t):
     return Select(SetItem(c, "total", call("round", col("total"), 4)), ["event_id", "ts", "total"])
 
 
+@query("""SELECT event_id, user_id, product(f) OVER w AS p, count(f) OVER w AS n, min(value) OVER w AS least FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN CASE WHEN event_id % 2 = 0 THEN 2.0 ELSE 0.5 END END AS f FROM events)
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def cum_prod_count_min_by_user(t):
+    odd = Case(((Cast(Cast(col("event_id") / 2, "bigint") * 2, "bigint") == col("event_id"), Lit(2.0)),), Lit(0.5))
+    e = SetItem(t("events"), "f", Case(((Cast(col("event_id") / 3, "bigint") * 3 != col("event_id"), odd),)))
+    for column, fn, new in (("f", "prod", "p"), ("f", "count", "n"), ("value", "min", "least")):
+        e = CumAggr(e, column, fn, ["ts", "event_id"], new, partition_by=["user_id"])
+    return Select(e, ["event_id", "user_id", "p", "n", "least"])
+
+
+@query("SELECT row_number() OVER (ORDER BY p_brand, p_partkey) AS place, p_partkey FROM part")
+def cum_count_by_name(t):
+    c = CumAggr(Select(t("part"), ["p_brand", "p_partkey"]), "p_partkey", "count", ["p_brand", "p_partkey"], "place")
+    return Select(c, ["place", "p_partkey"])
+
+
 @query("SELECT event_id, user_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best FROM events")
 def cum_max_by_user(t):
     return Select(CumAggr(t("events"), "value", "max", ["ts", "event_id"], "best", partition_by=["user_id"]), ["event_id", "user_id", "best"])

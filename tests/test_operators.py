@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.lineage import lineage
-from sluice.operators import AllAggregate, CumAggr, DropDuplicate, Filter, GroupBy, Join, Pivot, SetItem, UnPivot, agg
+from sluice.operators import AllAggregate, CumAggr, DropDuplicate, Filter, GroupBy, Join, Pivot, SetItem, SortValues, UnPivot, agg
 from sluice.pipeline import Pipeline
 from sluice.predicate import Lit, Opaque, col, row_predicate
 from sluice.sources import CsvTable, FrameTable, ParquetTable, SqlTable, write_parquet
@@ -126,3 +125,28 @@ def test_drop_duplicate_keeps_the_first_row_with_nulls_last(spark):
     assert "Window" not in plan and "partial_min" in plan
     assert sorted(map(tuple, Pipeline(spark, DropDuplicate(t, ["k", "v", "s"])).frame().collect()), key=str) == sorted(set(rows), key=str)
     assert sorted(map(tuple, Pipeline(spark, DropDuplicate(t, ["k"], ["k", "s"])).frame().collect()), key=str) == sorted([(1, 5, "a"), (2, None, "z"), (None, 3, "q"), (3, 1, "x")], key=str)
+
+
+def test_duplicates_with_map_columns(spark):
+    rows = [(1, {"b": 2, "a": 1}, [{"x": 1}]), (1, {"a": 1}, [{"y": 2}]), (2, None, None), (2, {"z": 0}, [])]
+    df = spark.createDataFrame(rows, "k int, m map<string,int>, l array<map<string,int>>")
+    for order in ([], ["m"], ["l"]):
+        p = Pipeline(spark, DropDuplicate(FrameTable(df, "t", ["k"]), ["k"], order))
+        got = p.frame().collect()
+        assert sorted(r.k for r in got) == [1, 2] and all((r.k, r.m, r.l) in rows for r in got)
+        assert next(r for r in got if r.k == 2).m == {"z": 0}
+
+
+def test_running_ranges_are_cut_where_strings_share_a_prefix(spark):
+    df = spark.range(20_000).select(F.format_string("Customer#%09d", (F.col("id") * 7919) % 20_000).alias("s"), F.lit(1).alias("v"))
+    p = Pipeline(spark, CumAggr(FrameTable(df, "t"), "v", "sum", ["s"], "c", ranges=16))
+    got = p.frame()
+    assert [r.c for r in got.orderBy("s").collect()] == list(range(1, 20_001))
+    sizes = [r["count"] for r in spark.read.parquet(*got.inputFiles()).groupBy("__range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 4_000
+
+
+def test_sort_is_in_order(spark):
+    rows = [(2, None), (1, 5.0), (None, 1.0), (1, None), (2, 7.0)]
+    t = FrameTable(spark.createDataFrame(rows, "a int, b double"), "t")
+    assert [tuple(r) for r in Pipeline(spark, SortValues(t, ["a", "b"], [True, False])).frame().collect()] == [(2, 7.0), (2, None), (1, 5.0), (1, None), (None, 1.0)]
