@@ -115,6 +115,29 @@ for _key, _condition in (("round", call("round", col("half"), 0) == 3.0), ("leas
     for _mode in ("auto", "eager"):
         question(f"crosstable_{_key}" + ("" if _mode == "auto" else "_eager"), branch_on(_condition), "lineitem", ["o_orderkey"], "SELECT * FROM lineitem WHERE l_orderkey = 5", _mode)
 
+# The rules of every operator, pushed and tracked alike, against SQL.
+_FIRST_ORDER = "SELECT * FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)"
+_FIRST_NATION = "(SELECT least((SELECT min(c_nationkey) FROM customer), (SELECT min(s_nationkey) FROM supplier)))"
+for _key, _make, _table, _order, _sql in (
+    ("unpivot_lineitem", operator_queries.unpivot, "lineitem", ["l_orderkey"], """WITH f AS (SELECT * FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem)) SELECT * FROM f WHERE l_discount = (SELECT min(l_discount) FROM f)"""),
+    ("split_part", operator_queries.split_by, "part", ["p_partkey"], "SELECT * FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)"),
+    ("get_dummies_orders", operator_queries.get_dummies, "orders", ["o_orderkey"], _FIRST_ORDER),
+    ("concat_column_orders", operator_queries.concat_column, "orders", ["o_orderkey"], _FIRST_ORDER),
+    ("all_aggregate_orders", operator_queries.all_aggregate, "orders", ["n"], "SELECT * FROM orders"),
+    ("scalar_lineitem", operator_queries.scalar_computation, "lineitem", ["value"], "SELECT * FROM lineitem"),
+    ("dependency_orders", operator_queries.set_item_with_dependency, "orders", ["o_orderkey"], "SELECT * FROM orders"),
+    ("combine_customer", operator_queries.combine, "customer", ["k"], "SELECT * FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer)"),
+    ("cogrouped_customer", operator_queries.cogrouped_map, "customer", ["nation"], f"SELECT * FROM customer WHERE c_nationkey = {_FIRST_NATION}"),
+    ("cogrouped_supplier", operator_queries.cogrouped_map, "supplier", ["-suppliers", "nation"], "SELECT * FROM supplier WHERE s_nationkey = (SELECT s_nationkey FROM supplier GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"),
+    ("crosstable_condition_lineitem", operator_queries.crosstable_condition, "lineitem", ["-small", "p_partkey"], """WITH r AS (SELECT p_partkey, p_size, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity < p_size) AS small FROM part ORDER BY small DESC, p_partkey LIMIT 1)
+        SELECT l.* FROM lineitem l, r WHERE l_partkey = p_partkey AND l_quantity < p_size"""),
+    ("cum_max_events", operator_queries.cum_max_by_user, "events", ["-event_id"], """WITH r AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 1) SELECT e.* FROM events e, r WHERE e.user_id = r.user_id AND (e.ts, e.event_id) <= (r.ts, r.event_id)"""),
+):
+    question(_key, _make, _table, _order, _sql)
+    question(f"{_key}_eager", _make, _table, _order, _sql, "eager")
+for _key in ("drop_duplicate_orders", "pivot_orders", "cum_sum_events", "append_supplier", "grouped_map_orders", "top_n_orders", "q4_lineitem", "q13_orders_without_match"):
+    question(f"{_key}_eager", *[QUESTIONS[_key][i] for i in (0, 1, 3, 4)], "eager")
+
 
 QUERIES = {f"lineage_{k}": ask(make, table, mode, which) for k, (make, table, mode, which, _) in QUESTIONS.items()}
 SQL = {f"lineage_{k}": sql for k, (_, _, _, _, sql) in QUESTIONS.items()}
