@@ -58,6 +58,10 @@ class GroupBy(Node):
     def comes_from(self, column, columns):
         return (0, column, True) if column in self.by else None
 
+    def decided_by(self, i, f, columns):
+        # Then all rows asked for are in one group, and that is the one f is true of.
+        return frozenset(self.by)
+
     def push(self, f, columns, out):
         return [group_push(self, f, self.by, out)]
 

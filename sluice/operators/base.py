@@ -81,6 +81,13 @@ class Node:
         """
         return None
 
+    def decided_by(self, i: int, f: Expr, columns: Sequence[Sequence[str]]) -> frozenset[str] | None:
+        """Columns of input i: where the predicate pushed to it fixes them to one value each, known or not, it is exact.
+
+        It may be taken for granted that some output row satisfies f. None: that is not enough.
+        """
+        return None
+
     def keys(self, keys: Sequence[set[frozenset[str]]], columns: Sequence[Sequence[str]]) -> set[frozenset[str]]:
         """Unique keys of the output, from those of the inputs."""
         changed = self.updated()

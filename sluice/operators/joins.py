@@ -95,6 +95,13 @@ class Join(Node):
             pushes.append(Push(local.substitute(back), status, reason, prune.substitute(back)))
         return pushes
 
+    def decided_by(self, i, f, columns):
+        # Then every row asked for meets the rows of the other side that are part of a row that f is true of.
+        sides = [set(names.values()) for names in self.names(columns)]
+        if self.how != "inner" or self.condition is not None or not all(any(q.columns() <= side for side in sides) for q in split_and(nnf(f))):
+            return None
+        return frozenset(pair[i] for pair in self.on)
+
     def comes_from(self, column, columns):
         ln, rn = self.names(columns)
         for i, own in enumerate((ln, rn)):
@@ -159,6 +166,9 @@ class SemiJoin(Node):
 
     anti = False
 
+    def decided_by(self, i, f, columns):
+        return frozenset(pair[i] for pair in self.on) if not self.anti and self.condition is None else None
+
     def comes_from(self, column, columns):
         return (0, column, True) if column in columns[0] else None
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import SnapshotStore, lineage
 from ..functions import call
-from ..operators import CrosstableUDF, Filter, Node, PipelinePath, Select, SetItem, SubPipeline, Subquery, agg
+from ..operators import CrosstableUDF, Filter, GroupBy, InnerJoin, Node, PipelinePath, Select, SetItem, SubPipeline, Subquery, agg
 from ..operators.base import name
 from ..pipeline import Pipeline
 from ..predicate import Case, Expr, col, lit, row_predicate
@@ -37,10 +37,11 @@ def ask(make: Callable[[Tables], Node], table: str, mode: str, which: Sequence[s
         if isinstance(which, Expr):
             f = which
         else:
-            row = first_row(p, which)
+            order, columns = which if isinstance(which, tuple) else (which, None)
+            row = first_row(p, order)
             if row is None:
                 return p.frame(next(s for s in p.sources if s.table == table)).filter(F.lit(False))
-            f = row_predicate(row)
+            f = row_predicate(row, columns)
         store = None
         if mode == "snapshot":
             from ..sources.scratch import scratch_folder
@@ -52,6 +53,13 @@ def ask(make: Callable[[Tables], Node], table: str, mode: str, which: Sequence[s
     return run
 
 
+def dependent_group(t: Tables) -> Node:
+    """Orders of customers, by columns that the customer's key determines, and one that is computed from those."""
+    j = InnerJoin(t("customer"), Filter(t("orders"), col("o_orderstatus") == "F"), ["c_custkey"], ["o_custkey"])
+    j = SetItem(j, "label", call("concat", col("c_name"), col("c_mktsegment")))
+    return GroupBy(j, ["o_custkey", "c_nationkey", "label", "o_orderstatus"], [agg("count", alias="n"), agg("max", "o_orderdate", "last")])
+
+
 def question(key: str, make, table: str, which, sql: str, mode: str = "auto") -> None:
     QUESTIONS[key] = (make, table, mode, which, sql)
 
@@ -115,6 +123,13 @@ for _key, _condition in (("round", call("round", col("half"), 0) == 3.0), ("leas
     for _mode in ("auto", "eager"):
         question(f"crosstable_{_key}" + ("" if _mode == "auto" else "_eager"), branch_on(_condition), "lineitem", ["o_orderkey"], "SELECT * FROM lineitem WHERE l_orderkey = 5", _mode)
 
+# Of the row, the customer's key and aggregates alone are given; the other group columns follow from the key.
+_DEPENDENT = "WITH r AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 1) "
+for _mode in ("pushdown", "eager"):
+    _end, _which = "" if _mode == "pushdown" else f"_{_mode}", (["-n", "o_custkey"], ["o_custkey", "n", "last"])
+    question(f"dependent_orders{_end}", dependent_group, "orders", _which, _DEPENDENT + "SELECT orders.* FROM orders JOIN r USING (o_custkey) WHERE o_orderstatus = 'F'", _mode)
+    question(f"dependent_customer{_end}", dependent_group, "customer", _which, _DEPENDENT + "SELECT * FROM customer WHERE c_custkey = (SELECT o_custkey FROM r)", _mode)
+
 # The rules of every operator, pushed and tracked alike, against SQL.
 _FIRST_ORDER = "SELECT * FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)"
 _FIRST_NATION = "(SELECT least((SELECT min(c_nationkey) FROM customer), (SELECT min(s_nationkey) FROM supplier)))"
