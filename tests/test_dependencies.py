@@ -15,7 +15,7 @@ from sluice.plans import catalog, lineage_queries, operator_queries, tpch
 from sluice.predicate import col, row_predicate
 from sluice.sources import FrameTable
 
-PIPELINES = {**{f"tpch_{k}": v for k, v in tpch.PIPELINES.items()}, "joined": operator_queries.inner_join_suffixes, "dependent": lineage_queries.dependent_group}
+PIPELINES = {**{f"tpch_{k}": tpch.PIPELINES[k] for k in ("q3", "q10", "q18")}, "joined": operator_queries.inner_join_suffixes, "dependent": lineage_queries.dependent_group}
 
 
 def test_closure():

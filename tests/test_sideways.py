@@ -16,7 +16,7 @@ from sluice.plans import catalog, operator_queries, tpch
 from sluice.predicate import TRUE, col, row_predicate
 from sluice.sources import FrameTable
 
-PIPELINES = {**{f"tpch_{k}": v for k, v in tpch.PIPELINES.items()}, **operator_queries.PIPELINES}
+PIPELINES = {**{f"tpch_{k}": v for k, v in tpch.PIPELINES.items()}, "join_suffixes": operator_queries.inner_join_suffixes}
 
 
 def traced(p, f):
