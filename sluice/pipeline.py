@@ -22,6 +22,7 @@ class Pipeline:
         self._visit(sink, set())
         self._frames: dict[Node, DataFrame] = {}
         self._columns: dict[Node, list[str]] = {}
+        self._types: dict[Node, dict[str, str]] = {}
 
     def _visit(self, node: Node, seen: set[int]) -> None:
         if id(node) in seen:
@@ -47,6 +48,12 @@ class Pipeline:
             self._columns[node] = data_columns(self.frame(node))
         return self._columns[node]
 
+    def types(self, node: Node) -> dict[str, str]:
+        """The type of each of a node's columns, as Spark writes it."""
+        if node not in self._types:
+            self._types[node] = {f.name: f.dataType.simpleString() for f in self.frame(node).schema}
+        return self._types[node]
+
     def pruned(self, filters: Mapping[Node, Expr]) -> DataFrame:
         """The result over sources that are filtered first."""
         made: dict[Node, DataFrame] = {}
@@ -89,6 +96,7 @@ class Pipeline:
                 made[n].inputs = tuple(made[i] for i in made[n].inputs)
         out = Pipeline(self.spark, made[self.sink])
         out._columns = {made[n]: columns for n, columns in self._columns.items()}
+        out._types = {made[n]: types for n, types in self._types.items()}
         return out
 
     def unique_keys(self) -> dict[Node, set[frozenset[str]]]:

@@ -130,6 +130,27 @@ for _mode in ("pushdown", "eager"):
     question(f"dependent_orders{_end}", dependent_group, "orders", _which, _DEPENDENT + "SELECT orders.* FROM orders JOIN r USING (o_custkey) WHERE o_orderstatus = 'F'", _mode)
     question(f"dependent_customer{_end}", dependent_group, "customer", _which, _DEPENDENT + "SELECT * FROM customer WHERE c_custkey = (SELECT o_custkey FROM r)", _mode)
 
+def declared_groups(t: Tables) -> Node:
+    """Line items, whose flags are a declared domain, by number and flag."""
+    items = t("lineitem").declared(col("l_returnflag").isin("A", "N", "R"), col("l_linenumber") >= 1)
+    return GroupBy(items, ["l_linenumber", "l_returnflag"], [agg("count", alias="n"), agg("max", "l_quantity", "most")])
+
+
+def declared_join(t: Tables) -> Node:
+    """Orders and customers joined on the nation that a range leaves, by segment."""
+    orders = Filter(t("orders").declared(col("o_orderstatus").isin("F", "O", "P")), ~col("o_orderstatus").isin("O", "P"))
+    j = InnerJoin(Filter(t("customer"), (col("c_nationkey") > 3) & (col("c_nationkey") < 5)), orders, ["c_custkey"], ["o_custkey"])
+    return GroupBy(j, ["c_nationkey", "o_orderstatus", "c_mktsegment"], [agg("count", alias="n")])
+
+
+# Ranges and domains leave a group's keys one value each; the question names none of them as a value.
+_LEFT_OVER = ((col("l_linenumber") > 2) & (col("l_linenumber") < 4) | (col("l_linenumber") == 3) & (col("most") > 0.0)) & ~col("l_returnflag").isin("A", "N") & (col("n") > 0)
+_ONE_NATION = (col("c_mktsegment") >= "BUILDING") & (col("c_mktsegment") <= "BUILDING") & (col("n") > 0)
+for _mode in ("pushdown", "eager"):
+    _end = "" if _mode == "pushdown" else f"_{_mode}"
+    question(f"domain_lineitem{_end}", declared_groups, "lineitem", _LEFT_OVER, "SELECT * FROM lineitem WHERE l_linenumber = 3 AND l_returnflag = 'R'", _mode)
+    question(f"domain_customer{_end}", declared_join, "customer", _ONE_NATION, "SELECT * FROM customer WHERE c_nationkey = 4 AND c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')", "auto" if _mode == "pushdown" else _mode)
+
 # The rules of every operator, pushed and tracked alike, against SQL.
 _FIRST_ORDER = "SELECT * FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)"
 _FIRST_NATION = "(SELECT least((SELECT min(c_nationkey) FROM customer), (SELECT min(s_nationkey) FROM supplier)))"

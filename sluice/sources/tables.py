@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.base import RID, Node, Push, name
+from ..predicate import TRUE, Expr, all_of, simplify
 
 
 class Source(Node):
@@ -19,6 +20,12 @@ class Source(Node):
     def __init__(self, table: str, key: Sequence[str] | None = None):
         super().__init__()
         self.table, self.key = table, list(key) if key else None
+        self.holds: Expr = TRUE
+
+    def declared(self, *holds: Expr) -> Source:
+        """This table, of all whose rows the predicates are true: a domain, a range, no nulls. Lineage relies on it; lineage.violations counts the rows that break it."""
+        self.holds = simplify(all_of([self.holds, *holds]))
+        return self
 
     def read(self, spark: SparkSession) -> DataFrame:
         raise NotImplementedError
