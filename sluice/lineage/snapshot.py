@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..operators import CrosstableUDF, DropDuplicate, GroupBy, GroupedMap, Join, Pivot, SemiJoin
+from ..operators import CrosstableUDF, DropDuplicate, GroupBy, GroupedMap, IntervalJoin, Join, Pivot, SemiJoin
 from ..operators.base import Node, Status, name
 from ..pipeline import Pipeline
 from ..predicate import TRUE, Cmp, Expr, Field, InTuples, Lit, all_of
@@ -27,7 +27,8 @@ def needed(node: Node, columns: list[str], pipeline: Pipeline) -> set[str]:
     if isinstance(node, Join):
         ln, rn = node.names([pipeline.columns(i) for i in node.inputs])
         extra = node.condition.columns() if node.condition is not None else set()
-        return {ln[a] for a, _ in node.on} | set(extra)
+        place = {ln[node.point]} if isinstance(node, IntervalJoin) else set()
+        return {ln[a] for a, _ in node.on} | set(extra) | place
     if isinstance(node, (GroupBy, GroupedMap)):
         return set(node.by)
     if isinstance(node, Pivot):

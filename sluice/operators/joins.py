@@ -74,14 +74,19 @@ class Join(Node):
         telling = [all_of(q for q in split_and(nnf(full)) if not q.columns() & asked[side] or _rejects_null(q)) for side in (0, 1)]
         fixed = pinned(f)
         key_fixed = all(a in pinned(telling[0]) or b in pinned(telling[1]) for a, b in pairs)
-        decided = key_fixed and (self.condition is None or self.condition.columns() <= fixed)
+        # An atom on both sides can be asked of one side only where the other's columns are given.
+        values = {q.left.name: q.right for q in _equalities(nnf(full)) if q.right.value is not None}
+        crossing = [q for q in split_and(nnf(full)) if not any(q.columns() <= set(own.values()) for own in (ln, rn))]
+        bounded = [q for q in crossing if not q.columns() <= fixed] if self.how == "inner" else []
+        decided = key_fixed and all(q.columns() <= fixed or (self.how == "inner" and any(q.columns() - values.keys() <= set(own.values()) for own in (ln, rn))) for q in crossing)
         pushes = []
         for side, (own, other) in enumerate(((ln, rn), (rn, ln))):
             mine = set(own.values())
             gone = set(out) - mine | (set(other.values()) - mine)
             back = {new: Field(old) for old, new in own.items()}
             implied = weaken(implied_pins(telling[1 - side], pairs), gone)
-            local = simplify(And(weaken(full, gone), implied))
+            reach = weaken(all_of(q.substitute({c: values[c] for c in q.columns() - mine if c in values}) for q in bounded), gone)
+            local = simplify(all_of([weaken(full, gone), implied, reach]))
             # A padded row keeps no trace of what this side lacked: prune an optional side by its key alone.
             key_only = simplify(And(implied, weaken(telling[side], gone | (mine - {p[side] for p in pairs}))))
             kept_side = optional[1 - side]
@@ -152,9 +157,10 @@ class CrossJoin(Join):
         super().__init__(left, right, [], [])
 
     def push(self, f, columns, out):
-        pushes = super().push(f, columns, out)
-        # Each side's rows meet all of the other's: only what f asks of the other side may be missing.
-        return [Push(p.predicate) for p in pushes]
+        pushes, sides = super().push(f, columns, out), [set(own.values()) for own in self.names(columns)]
+        # Each side's rows meet all of the other's: only what f asks of the other side, or of both, may be missing.
+        apart = all(any(q.columns() <= side for side in sides) for q in split_and(nnf(f)))
+        return [Push(p.predicate) if apart else p for p in pushes]
 
 
 class SemiJoin(Node):

@@ -168,6 +168,8 @@ for _key, _make, _table, _order, _sql in (
     ("crosstable_condition_lineitem", operator_queries.crosstable_condition, "lineitem", ["-small", "p_partkey"], """WITH r AS (SELECT p_partkey, p_size, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity < p_size) AS small FROM part ORDER BY small DESC, p_partkey LIMIT 1)
         SELECT l.* FROM lineitem l, r WHERE l_partkey = p_partkey AND l_quantity < p_size"""),
     ("cum_max_events", operator_queries.cum_max_by_user, "events", ["-event_id"], """WITH r AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 1) SELECT e.* FROM events e, r WHERE e.user_id = r.user_id AND (e.ts, e.event_id) <= (r.ts, r.event_id)"""),
+    ("interval_customer", operator_queries.interval_join, "customer", ["-c_custkey", "s_suppkey"], f"SELECT * FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM ({operator_queries.SQL['interval_join']}))"),
+    ("as_of_events", operator_queries.as_of_join, "events", ["-event_id"], f"WITH r AS (SELECT * FROM ({operator_queries.SQL['as_of_join']}) ORDER BY event_id DESC LIMIT 1) SELECT e.* FROM events e, r WHERE e.event_id IN (r.event_id, r.click)"),
 ):
     question(_key, _make, _table, _order, _sql)
     question(f"{_key}_eager", _make, _table, _order, _sql, "eager")

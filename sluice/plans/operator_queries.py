@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from ..functions import call
 from ..operators import (
-    AllAggregate, AntiJoin, Append, ChangeType, CogroupedMap, Combine, ConcatColumn, Copy, CrosstableUDF, CumAggr, DropColumns, DropDuplicate, DropNA, FillNA, Filter, GetDummies, GroupBy, GroupedMap, GroupingSets,
-    InnerJoin, Join, LeftOuterJoin, Node, NotIn, PipelinePath, Pivot, Rename, ScalarComputation, Select, SemiJoin, SetItem, SetItemWithDependency, SortValues, Split, SubPipeline, Subquery, SubpipeInput, TopN, UnPivot,
+    AllAggregate, AntiJoin, Append, AsOfJoin, ChangeType, CogroupedMap, Combine, ConcatColumn, Copy, CrosstableUDF, CumAggr, DropColumns, DropDuplicate, DropNA, FillNA, Filter, GetDummies, GroupBy, GroupedMap, GroupingSets,
+    InnerJoin, IntervalJoin, Join, LeftOuterJoin, Node, NotIn, PipelinePath, Pivot, Rename, ScalarComputation, Select, SemiJoin, SetItem, SetItemWithDependency, SortValues, Split, SubPipeline, Subquery, SubpipeInput, TopN, UnPivot,
     agg, outer,
 )
 from ..predicate import Arith, Case, Cast, Contains, InTuples, Lit, Not, Opaque, col
@@ -377,3 +377,33 @@ def notebook_search_frequency(t):
     a = Append([Append([Append([part("click"), part("view")]), part("purchase")]), part("error")])
     g = GroupBy(SortValues(a, ["date"]), ["date"], [agg("sum", "value", "frequency")])
     return SetItem(g, "frequency", call("round", col("frequency"), 4))
+
+
+@query("SELECT s_suppkey, s_acctbal, c_custkey, c_acctbal, c_acctbal + c_nationkey AS upto FROM supplier, customer WHERE s_acctbal BETWEEN c_acctbal AND c_acctbal + c_nationkey")
+def interval_join(t):
+    c = SetItem(Select(t("customer"), ["c_custkey", "c_acctbal", "c_nationkey"]), "upto", col("c_acctbal") + col("c_nationkey"))
+    return DropColumns(IntervalJoin(Select(t("supplier"), ["s_suppkey", "s_acctbal"]), c, "s_acctbal", "c_acctbal", "upto"), ["c_nationkey"])
+
+
+@query("""SELECT s.s_suppkey, c.c_custkey, c.c_nationkey FROM supplier s JOIN customer c ON s_nationkey = c_nationkey AND s_acctbal >= c_acctbal AND s_acctbal < c_acctbal + 500""")
+def interval_join_by_nation(t):
+    c = SetItem(Select(t("customer"), ["c_custkey", "c_acctbal", "c_nationkey"]), "upto", col("c_acctbal") + 500)
+    j = IntervalJoin(Select(t("supplier"), ["s_suppkey", "s_acctbal", "s_nationkey"]), c, "s_acctbal", "c_acctbal", "upto", by=[("s_nationkey", "c_nationkey")], closed=False)
+    return Select(j, ["s_suppkey", "c_custkey", "c_nationkey"])
+
+
+def _events(t: Tables, kind: str, *columns: str) -> Node:
+    return Select(Filter(t("events"), col("event_type") == kind), list(columns))
+
+
+@query("""WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), c AS (SELECT * FROM events WHERE event_type = 'click')
+    SELECT p.event_id, p.user_id, p.ts, c.event_id AS click, c.ts AS clicked FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts""")
+def as_of_join(t):
+    clicks = Rename(_events(t, "click", "event_id", "user_id", "ts"), {"event_id": "click", "ts": "clicked"})
+    return AsOfJoin(_events(t, "purchase", "event_id", "user_id", "ts"), clicks, "ts", "clicked", by=[("user_id", "user_id")])
+
+
+@query("""WITH e AS (SELECT * FROM events WHERE event_type = 'error'), v AS (SELECT * FROM events WHERE event_type = 'view')
+    SELECT e.event_id, e.ts, v.event_id AS event_id_y, v.ts AS ts_y, v.value FROM e ASOF LEFT JOIN v ON e.ts > v.ts""")
+def as_of_join_global(t):
+    return AsOfJoin(_events(t, "error", "event_id", "ts"), _events(t, "view", "event_id", "ts", "value"), "ts", "ts", strict=True)
