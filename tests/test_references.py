@@ -64,3 +64,32 @@ def test_odd_keys(spark, odd, make):
     for row in rows:
         want, found = both(p, row_predicate(row))
         assert found == want, row
+
+
+def test_groups_keep_their_own_types_and_nulls(spark):
+    """Groups share batches: a null in one makes no float of another's integers, and results of two types don't meet."""
+    big, t = 2**53 + 1, "k long, i long, b boolean, s string, a array<int>"
+    rows = [(1, big, True, "x", [1]), (1, big + 2, None, None, None), (2, None, False, "y", []), (2, 5, True, "", None), (None, 7, None, "z", [2, 3]), *[(k, k, True, "m", None) for k in range(10, 400) for _ in range(60)]]
+    src = FrameTable(spark.createDataFrame(rows, t), "t", ["k"])
+
+    def told(pdf):
+        import pandas as pd
+
+        n = len(pdf) if str(pdf["i"].dtype) == "int64" else float(len(pdf))
+        out = pd.DataFrame({"n": [n], "top": [pdf["i"].max()], "kinds": [f"{pdf['i'].dtype} {pdf['b'].dtype} {list(pdf.index) == list(range(len(pdf)))}"], "none": [int(pdf["b"].isna().sum())]})
+        return out.iloc[:0] if pdf["k"].iloc[0] == 11 else out
+
+    from sluice.operators import GroupedMap
+
+    schema = "n long, top long, kinds string, none long"
+    df = src.read(spark)
+
+    def plain(group, pdf):
+        out = told(pdf)
+        out.insert(0, "k", group[0])
+        return out
+
+    want = df.groupBy("k").applyInPandas(plain, "k long, " + schema).collect()
+    found = Pipeline(spark, GroupedMap(src, ["k"], fn=told, schema=schema)).frame()
+    assert sorted(map(str, found.collect())) == sorted(map(str, want)) and len(want) == 392
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()  # one exchange with Python for each group
