@@ -93,3 +93,10 @@ def test_groups_keep_their_own_types_and_nulls(spark):
     found = Pipeline(spark, GroupedMap(src, ["k"], fn=told, schema=schema)).frame()
     assert sorted(map(str, found.collect())) == sorted(map(str, want)) and len(want) == 392
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()  # one exchange with Python for each group
+
+
+@pytest.mark.parametrize("name", ["inner_join_null_keys", "interval_join", "interval_join_by_nation", "grouped_map_table"])
+def test_many_pairs_or_groups_of_few_bytes_are_the_work_of_many_tasks(spark, small, name):
+    df = Pipeline(spark, operator_queries.PIPELINES[name](catalog.tables(small.replace("sf0.001", "sf0.01")))).frame()
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(rows) >= 4 and max(rows) <= sum(rows) / 2
