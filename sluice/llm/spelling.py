@@ -117,10 +117,10 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own // BITMAP), pa.array(own % BITMAP)], ["bucket", "bit"])
 
     parts = vocabulary.select("word").transform(in_arrow, slots, "bucket long, bit long").groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
-    whole = np.zeros((1 << bits) // 8, np.uint8)  # 2**MOST_BITS slots at most
+    whole = bytearray((1 << bits) // 8)  # 2**MOST_BITS slots at most, held once
     for r in parts.toLocalIterator():
-        whole[r.bucket * BITMAP // 8 : (r.bucket + 1) * BITMAP // 8] = np.frombuffer(r.bitmap, np.uint8)
-    sent = spark.sparkContext.broadcast(whole.tobytes())
+        whole[r.bucket * BITMAP // 8 : (r.bucket + 1) * BITMAP // 8] = r.bitmap
+    sent = spark.sparkContext.broadcast(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, mask = np.frombuffer(sent.value, np.uint8), np.uint64((1 << bits) - 1)
