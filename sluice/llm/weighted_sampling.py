@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD_GAP, materialize, n_words, partitions
+from .common import SPACES, WORD_GAP, materialize, partitions
 
 #: Draws of a fingerprint, dealt to CHUNKS rows of DRAWS each: generated code for more draws at once is too long to be compiled.
 CHUNKS, DRAWS = 8, 4
@@ -60,16 +60,19 @@ UNIFORM = (
 def least(j: int) -> str:
     """SQL for what is minimised in draw j of a chunk over a text's words (z, log_w, bound): logarithm of the value, then the sample's code.
 
-    The value is at least (1 - u2 u3) u0 u1 / weight; words for which that is too large are left out before any logarithm.
+    With x = u0 u1 and y = u2 u3, the value is at least (1 - y) x / weight; for a weight of 1 it is -ln(y) x**(1 - u4), so at least
+    2 (1 - y) / (1 + y) times x / (1 - u4 + u4 x). Words for which that is too large are left out before any logarithm.
     """
     u = [re.sub(r"v(\d)", rf"v{j}_\1", x) for x in UNIFORM]
-    r, c = f"(-ln({u[0]} * {u[1]}))", f"(-ln({u[2]} * {u[3]}))"
+    x, y = f"({u[0]} * {u[1]})", f"({u[2]} * {u[3]})"
+    r, c = f"(-ln{x})", f"(-ln{y})"
     step = f"floor(log_w / {r} + {u[4]})"
     packed = lambda value, code: f"bigint(floor(({value} + 100D) * {1 << STEP_BITS}D)) * {1 << BITS} + {code}"
     # A weight of 1 is always at step 0.
     once = packed(f"ln({c}) - {r} * (1D - {u[4]})", "z")
     more = packed(f"ln({c}) - {r} * ({step} - {u[4]} + 1D)", f"((z + 7919 * {step}) & {(1 << BITS) - 1})")
-    return f"CASE WHEN (1D - {u[2]} * {u[3]}) * {u[0]} * {u[1]} <= bound THEN CASE WHEN log_w = 0 THEN {once} ELSE {more} END END"
+    near = f"2D * (1D - {y}) * {x} <= bound * (1D + {y}) * (1D - {u[4]} + {u[4]} * {x})"
+    return f"CASE WHEN log_w = 0D THEN CASE WHEN {near} THEN {once} END WHEN (1D - {y}) * {x} <= bound THEN {more} END"
 
 
 def code(packed: Column) -> Column:
@@ -153,23 +156,28 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(df, id_col, text_col).withColumn("n_chars", F.char_length("text").cast("long"))
     rows = rows.withColumn("edited", F.when(~F.col("extra"), F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next", F.lit(1), half)))).drop("next")
-    for c in ("text", "edited"):
-        rows = rows.withColumn(f"{c}_size", n_words(F.col(c)))
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("n_chars", "long"), ("sha", "string"))]
-    facts = [F.col("doc_id"), F.col("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha")]
-    sides = [F.struct(F.lit(side).alias("side"), t.alias("t"), *rest) for side, t, rest in ((0, F.col("text"), nothing), (1, F.col("edited"), nothing), (2, F.lit(""), facts))]
-    apart = rows.select("stretch", "at", F.least("text_size", "edited_size").alias("size"), F.inline(F.when(F.col("extra"), F.array(sides[0])).otherwise(F.array(*sides))))
-    at = ["stretch", "at", "size", "doc_id", "n_chars", "sha"]
-    trimmed = F.btrim("t", F.lit(SPACES))
-    words = apart.select(*at, "side", F.explode_outer(F.when(trimmed != "", F.split(trimmed, WORD_GAP))).alias("word"))
+    trimmed = {c: F.btrim(c, F.lit(SPACES)) for c in ("text", "edited")}
+    rows = rows.withColumns({f"{c}_words": F.when(t != "", F.split(t, WORD_GAP)) for c, t in trimmed.items()})
+    size = F.least(*[F.greatest(F.coalesce(F.size(f"{c}_words"), F.lit(1)), F.lit(1)) for c in trimmed])
+    facts = F.struct("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"))
+    nothing = F.lit(None).cast("struct<doc_id: bigint, n_chars: bigint, sha: string>")
+    sides = [F.struct(F.lit(side).alias("side"), w.alias("words"), f.alias("facts")) for side, w, f in ((0, F.col("text_words"), nothing), (1, F.col("edited_words"), nothing), (2, F.lit(None).cast("array<string>"), facts))]
+    apart = rows.select("stretch", "at", size.alias("size"), F.inline(F.when(F.col("extra"), F.array(sides[0])).otherwise(F.array(*sides))))
+    # The row of a document's facts has no word; it stays apart from its words' rows, whose facts are null.
+    at = ["stretch", "at", "facts"]
+    words = apart.select(*at, "size", "side", F.explode_outer("words").alias("word"))
     # All of the next steps group within a stretch, so none of them shuffles.
-    terms = words.groupBy(*at, "word").agg(*[F.count(F.when(F.col("side") == i, 1)).alias(f"n{i}") for i in (0, 1)])
+    terms = words.groupBy(*at, "size", "word").agg(*[F.count(F.when(F.col("side") == i, 1)).alias(f"n{i}") for i in (0, 1)])
     md5 = F.md5(F.col("word").cast("binary"))
-    numbers = [F.conv(F.substring(md5, 1 + 7 * i, 7), 16, 10).cast("long").alias(c) for i, c in enumerate("xyz")]
+    # What is drawn with is never null: a method that is handed a flag beside each of so many columns isn't fully compiled by the JVM.
+    known = lambda c, other: F.coalesce(c, F.lit(other))
+    numbers = [known(F.conv(F.substring(md5, 1 + 7 * i, 7), 16, 10).cast("long"), 0).alias(c) for i, c in enumerate("xyz")]
     # A word that is as frequent in both texts is drawn for once, as side 2.
     weights = [F.struct(F.lit(i).alias("side"), F.col(f"n{i % 2}").alias("n")) for i in range(3)]
     weighted = F.when(F.col("n0") == F.col("n1"), F.array(weights[2])).when(F.col("n1") == 0, F.array(weights[0])).when(F.col("n0") == 0, F.array(weights[1])).otherwise(F.array(*weights[:2]))
-    sided = terms.select(*at, *numbers, F.inline(weighted)).select(*at, "side", *"xyz", F.ln("n").alias("log_w"), (LARGEST * F.col("n") / F.greatest("size", F.lit(1))).alias("bound"))
+    # No value is below a bound of -1, so nothing is drawn where there is no word.
+    bound = known(F.when(F.col("word").isNotNull(), LARGEST * F.col("n") / F.col("size")), -1.0)
+    sided = terms.select(*at, "size", "word", *numbers, F.inline(weighted)).select(*at, "side", *"xyz", known(F.ln("n"), 0.0).alias("log_w"), bound.alias("bound"))
     chunk = sided.withColumn("chunk", F.explode(F.array(*map(F.lit, range(CHUNKS)))))
     own = [F.expr(hashed(*[f"array({', '.join(f'{n}L' for n in f)})[chunk]" for f in dealt(i)], "x", "y")).alias(c) for i, c in enumerate("pq")]
     hashes = [F.expr(hashed(*map("{}L".format, factors(f"draw {j} {i}")), "p", "q")).alias(f"v{j}_{i}") for j in range(DRAWS) for i in range(3)]
@@ -177,9 +185,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = drawn.groupBy(*at, "chunk", "side").agg(*[F.min(F.expr(least(j))).alias(f"s{j}") for j in range(DRAWS)])
     of = lambda i: F.array(*[code(F.col(f"s{i}_{j}")).cast("int") for j in range(DRAWS)])
     both = found.groupBy(*at, "chunk").agg(*[F.min(F.when(F.col("side").isin(i, 2), F.col(f"s{j}"))).alias(f"s{i}_{j}") for i in (0, 1) for j in range(DRAWS)])
-    both = both.select(*at, F.when(F.col("sha").isNull(), F.struct("chunk", of(0).alias("own"), of(1).alias("edited"))).alias("c"))
-    whole = both.groupBy("stretch", "at").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_chars", "sha")], F.sort_array(F.collect_list("c")).alias("c"))
-    whole = whole.select("stretch", "at", "doc_id", "n_chars", "sha", *[F.flatten(F.col("c").getField(c)).alias(c) for c in ("own", "edited")])
+    both = both.select(*at, F.when(F.col("facts").isNull(), F.struct("chunk", of(0).alias("own"), of(1).alias("edited"))).alias("c"))
+    whole = both.groupBy("stretch", "at").agg(F.max("facts").alias("facts"), F.sort_array(F.collect_list("c")).alias("c"))
+    whole = whole.select("stretch", "at", "facts.*", *[F.flatten(F.col("c").getField(c)).alias(c) for c in ("own", "edited")])
     near = whole.withColumn("then", F.lead("own").over(Window.partitionBy("stretch").orderBy("at"))).filter(F.col("sha").isNotNull())
     return near.select(
         "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), hexed(F.col("own")).alias("fingerprint"), hexed(F.col("edited")).alias("edited_fingerprint"),

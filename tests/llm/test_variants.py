@@ -59,6 +59,36 @@ def test_fingerprints_shuffle_the_texts_once(spark, docs):
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Arrow" not in plan
 
 
+def test_no_flags_are_handed_on_with_what_is_drawn(spark, docs):
+    """The JVM compiles methods of the plan fully only if they hand on few enough arguments."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # such a plan holds no code before it runs
+    try:
+        plan = weighted_sampling.fingerprints(docs)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    made = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    most = max(len(x.split(",")) for x in re.findall(r"private void \w*doConsume\w*\(([^)]*)\)", made))
+    assert 20 <= most < 30
+
+
+def test_words_that_are_left_out_have_greater_values(spark):
+    weights = "element_at(array(1D, 1D, 2D, 5D), cast(1 + id % 4 as int))"
+    hashes = [f"cast(rand({3 * j + i}) * {1 << weighted_sampling.BITS} as long) AS v{j}_{i}" for j in range(weighted_sampling.DRAWS) for i in range(3)]
+    rows = spark.range(20_000).selectExpr("id AS z", f"{weights} AS weight", f"ln({weights}) AS log_w", *hashes)
+    kept = [f"({weighted_sampling.least(j)}) AS s{j}" for j in range(weighted_sampling.DRAWS)]
+    for share in (0.5, 0.1, 0.01):
+        every, some = (rows.selectExpr("*", f"{b} * weight AS bound").selectExpr("weight", *kept).collect() for b in ("1e9D", f"{share}D"))
+        once, loose = 0, 0
+        for a, b in zip(every, some, strict=True):
+            for j in range(weighted_sampling.DRAWS):
+                value = math.exp((a[f"s{j}"] >> weighted_sampling.BITS) / (1 << weighted_sampling.STEP_BITS) - 100)
+                assert b[f"s{j}"] == a[f"s{j}"] if b[f"s{j}"] is not None else value > share * (1 - 1e-6)
+                if a.weight == 1 and b[f"s{j}"] is not None:
+                    once, loose = once + 1, loose + (value > share)
+        assert once and loose < 0.72 * once
+
+
 def edits(w: str, alphabet: str) -> set[str]:
     n = len(w)
     return {w[:i] + w[i + 1 :] for i in range(n)} | {w[:i] + c + w[i + 1 :] for i in range(n) for c in alphabet if c != w[i]} | {w[:i] + c + w[i:] for i in range(n + 1) for c in alphabet}
