@@ -87,9 +87,9 @@ def places(text: bytes) -> range:
     return range(0, max(1, len(text) - WINDOW + STEP), STEP) if text else range(0)
 
 
-def lengths(c: zstandard.ZstdCompressor, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The compressed length of each window, given as its place in text and its size, with CARRIER behind it."""
-    out, carrier = [np.zeros(0, np.int64)], np.frombuffer(CARRIER, np.uint8)
+def lengths(compressors: list[zstandard.ZstdCompressor], text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """By compressor, the compressed length of each window, given as its place in text and its size, with CARRIER behind it."""
+    out, carrier = [[np.zeros(0, np.int64)] for _ in compressors], np.frombuffer(CARRIER, np.uint8)
     for lo in range(0, len(starts), AT_ONCE):
         at, size = starts[lo : lo + AT_ONCE], sizes[lo : lo + AT_ONCE]
         rows = np.empty((len(at), WINDOW + len(carrier)), np.uint8)
@@ -98,9 +98,10 @@ def lengths(c: zstandard.ZstdCompressor, text: np.ndarray, starts: np.ndarray, s
         for i in np.flatnonzero(size < WINDOW):
             rows[i, size[i] : size[i] + len(carrier)] = carrier
         segments = np.stack([np.arange(len(at)) * rows.shape[1], size + len(carrier)], axis=1).astype(np.uint64)
-        made = c.multi_compress_to_buffer(zstandard.BufferWithSegments(rows.tobytes(), segments.tobytes()), threads=1)
-        out.append(np.fromiter(map(len, map(made.__getitem__, range(len(at)))), np.int64, len(at)))
-    return np.concatenate(out)
+        windows = zstandard.BufferWithSegments(rows.tobytes(), segments.tobytes())
+        for c, own in zip(compressors, out, strict=True):
+            own.append(np.fromiter(map(len, c.multi_compress_to_buffer(windows, threads=1)), np.int64, len(at)))
+    return [np.concatenate(x) for x in out]
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,10 +123,10 @@ class Dictionaries:
         """From folded texts of either label."""
         base = trained([x[i : i + 64] for x in ordinary for i in range(0, len(x), 64)], SIZES[0], 16, 6)
         c = compressor(base)
-        usual = lengths(c, *laid_out(ordinary)[:3])
+        (usual,) = lengths([c], *laid_out(ordinary)[:3])
         strange = np.quantile(usual, STRANGE) if len(usual) else 0
         text, starts, sizes, _ = laid_out(toxic)
-        whole, odd = text.tobytes(), lengths(c, text, starts, sizes) >= strange
+        whole, odd = text.tobytes(), lengths([c], text, starts, sizes)[0] >= strange
         own = [whole[i : i + n] for i, n in zip(*(x[odd].tolist() for x in (starts, sizes)), strict=True)]
         return cls(base, trained(own, SIZES[1], 12, 8))
 
@@ -139,18 +140,23 @@ class Distances:
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(the distances of all windows of folded texts, the number for each text)."""
         text, starts, sizes, counts = laid_out(texts)
-        return lengths(self.ordinary, text, starts, sizes) - lengths(self.both, text, starts, sizes), counts
+        ordinary, both = lengths([self.ordinary, self.both], text, starts, sizes)
+        return ordinary - both, counts
 
     def features(self, texts: list) -> np.ndarray:
         """A row for each text: roots of the shares of windows at each of STEPS, mean of the top three, mean, log of the number."""
         out, (distances, n) = np.zeros((len(texts), len(STEPS) + 3)), self.of([folded(x) for x in texts])
-        for i, (e, size) in enumerate(zip(np.cumsum(n), n, strict=True)):
-            if size:
-                own = distances[e - size : e]
-                counts = np.bincount(np.clip(own, 0, STEPS[-1]), minlength=STEPS[-1] + 1)
-                out[i, : len(STEPS)] = np.sqrt(counts[::-1].cumsum()[::-1][1:] / size)
-                top = own if size <= 3 else np.partition(own, size - 3)[-3:]
-                out[i, len(STEPS) :] = top.mean(), own.mean(), np.log(size)
+        if not len(distances):
+            return out
+        least, has = min(0, int(distances.min())), n > 0
+        values = np.arange(least, max(STEPS[-1], int(distances.max())) + 1)
+        # How many windows of each text have which distance: all features come from that.
+        counts = np.bincount(np.repeat(np.arange(len(n)), n) * len(values) + (distances - least), minlength=len(n) * len(values)).reshape(len(n), -1)[has]
+        at_least, n = counts[:, ::-1].cumsum(axis=1)[:, ::-1], n[has]
+        out[has, : len(STEPS)] = np.sqrt(at_least[:, np.array(STEPS) - least] / n[:, None])
+        k = np.minimum(n, 3)
+        top = np.diff(np.minimum(at_least, k[:, None]), axis=1, append=0) @ -values / k
+        out[has, len(STEPS) :] = np.stack([top, counts @ values / n, np.log(n)], axis=1)
         return out
 
 

@@ -123,6 +123,15 @@ def test_toxicity_of_odd_texts(odd, labels):
     assert len({r.score for r in rows if r.doc_id == 2}) == 1
 
 
+def test_windows_are_laid_out_once_for_both_dictionaries(monkeypatch):
+    made, laid = [], toxicity.zstandard.BufferWithSegments
+    monkeypatch.setattr(toxicity.zstandard, "BufferWithSegments", lambda *x: made.append(x) or laid(*x))
+    monkeypatch.setattr(toxicity, "AT_ONCE", 10)
+    distances = toxicity.Distances(toxicity.Dictionaries(b"some ordinary words of a text", b"quite other ones"))
+    of, n = distances.of([b" some other words and quite ordinary ones of a longer text that has more than ten windows ", b"", b" a "])
+    assert n.sum() == len(of) > 10 and len(made) == -(-len(of) // 10)
+
+
 def test_windows_and_distances_are_those_of_whole_compressions(spark, monkeypatch):
     d = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
