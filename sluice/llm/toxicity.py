@@ -7,7 +7,8 @@ logistic threshold turns the distribution of a text's distances into its score.
 
 Toxic documents are ordinary for the most part, so the toxic dictionary is trained on
 those of their windows that the ordinary dictionary compresses badly. Every window of
-every text is compressed both ways.
+every text is measured both ways; of equal windows that are laid out together one is
+compressed for all.
 """
 
 from __future__ import annotations
@@ -80,6 +81,10 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 #: Windows that are laid out and compressed at once.
 AT_ONCE = 50_000
+#: Windows among which equal ones are looked for, and bytes of the texts that are scored together: bounds of a task's memory.
+AMONG, TOGETHER = 2_000_000, 12_000_000
+#: Odd factors that spread the bits of a window's bytes, eight at a time, over its hash.
+SPREAD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
 def places(text: bytes) -> range:
@@ -87,13 +92,54 @@ def places(text: bytes) -> range:
     return range(0, max(1, len(text) - WINDOW + STEP), STEP) if text else range(0)
 
 
+def distinct(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first of each lot of equal windows, in order; for each window the place there of the one that it equals).
+
+    Neighbours by hash are compared whole, so a collision may keep a window twice, but never takes it for another.
+    """
+    words = np.ndarray(len(text) + WINDOW, np.uint64, np.concatenate([text, np.zeros(WINDOW + 8, np.uint8)]), strides=(1,))
+    # What follows a short window in the text is compared with it, which keeps one more at worst.
+    keys = [words[starts + i] for i in range(0, WINDOW, 8)]
+    mixed = np.bitwise_xor.reduce([k * m for k, m in zip(keys, SPREAD, strict=True)])
+    order = np.argsort(mixed ^ mixed >> np.uint64(32))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in (*keys, sizes):
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    lots = np.flatnonzero(new)
+    first = np.minimum.reduceat(order, lots) if len(lots) else order
+    kept = np.zeros(len(order), bool)
+    kept[first] = True
+    of = np.empty(len(order), np.int64)
+    of[order] = np.repeat((np.cumsum(kept) - 1)[first], np.diff(lots, append=len(order)))
+    return np.flatnonzero(kept), of
+
+
 def lengths(compressors: list[zstandard.ZstdCompressor], text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """By compressor, the compressed length of each window, given as its place in text and its size, with CARRIER behind it."""
+    """By compressor, the compressed length of each window, given as its place in text and its size, with CARRIER behind it.
+
+    Of equal windows, which have equal lengths, one is compressed.
+    """
+    out = [[np.zeros(0, np.int64)] for _ in compressors]
+    for lo in range(0, len(starts), AMONG):
+        at, size = starts[lo : lo + AMONG], sizes[lo : lo + AMONG]
+        base = int(at[0])
+        part = text[base : int(at[-1]) + WINDOW]
+        which, of = distinct(part, at - base, size)
+        for own, x in zip(out, compressed(compressors, part, at[which] - base, size[which]), strict=True):
+            own.append(x[of])
+    return [np.concatenate(x) for x in out]
+
+
+def compressed(compressors: list[zstandard.ZstdCompressor], text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """lengths, where every window given is compressed."""
     out, carrier = [[np.zeros(0, np.int64)] for _ in compressors], np.frombuffer(CARRIER, np.uint8)
+    cut = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(WINDOW, np.uint8)]), WINDOW)
     for lo in range(0, len(starts), AT_ONCE):
         at, size = starts[lo : lo + AT_ONCE], sizes[lo : lo + AT_ONCE]
         rows = np.empty((len(at), WINDOW + len(carrier)), np.uint8)
-        rows[:, :WINDOW] = text[np.minimum(at[:, None] + np.arange(WINDOW), len(text) - 1)]
+        rows[:, :WINDOW] = cut[at]
         rows[:, WINDOW:] = carrier
         for i in np.flatnonzero(size < WINDOW):
             rows[i, size[i] : size[i] + len(carrier)] = carrier
@@ -113,6 +159,19 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return np.frombuffer(b"".join(texts), np.uint8), starts, np.minimum(WINDOW, np.repeat(ends, counts) - starts), counts
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about TOGETHER bytes, as more windows are equal among more texts."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= TOGETHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 @dataclass
 class Dictionaries:
     ordinary: bytes
@@ -256,8 +315,8 @@ def toxicity(df: DataFrame, labels: DataFrame, threshold: float = 0.3, held_out=
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(model.dictionaries) if model else None
-        for batch in batches:
-            for lo, texts in text_slices(as_bytes(batch.column("text"))):
+        for batch in together(batches):
+            for lo, texts in text_slices(as_bytes(batch.column("text")), TOGETHER):
                 score = model.score(distances.features(texts)) if model else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, len(texts)) for c in ("doc_id", "held_out")], pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

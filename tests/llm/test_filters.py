@@ -132,6 +132,33 @@ def test_windows_are_laid_out_once_for_both_dictionaries(monkeypatch):
     assert n.sum() == len(of) > 10 and len(made) == -(-len(of) // 10)
 
 
+def test_of_equal_windows_one_is_compressed(monkeypatch):
+    made, laid = [], toxicity.zstandard.BufferWithSegments
+    monkeypatch.setattr(toxicity.zstandard, "BufferWithSegments", lambda *x: made.append(len(x[1]) // 16) or laid(*x))
+    both = toxicity.Dictionaries(b"some ordinary words of a text", b"quite other ones")
+    distances = toxicity.Distances(both)
+    # the last is short, and with what follows it in the text or with the carrier it looks like a whole one
+    texts = [b" some other words and quite ordinary ones of a text ", b" quite other ", b" x abcdefghij 0123456789 ", b" abcdefghij 0123456789 ", b" abcd ", b" abcd ", b" abcd ", b" ab"]
+    texts = [*texts, b"", *texts, *texts[:2] * 3]
+    own = [[t[i : i + 16] for i in toxicity.places(t)] for t in texts]
+    one, two = (toxicity.compressor(x) for x in (both.ordinary, both.ordinary + both.toxic))
+    want = [len(one.compress(w + toxicity.CARRIER)) - len(two.compress(w + toxicity.CARRIER)) for x in own for w in x]
+    kinds = {w for x in own for w in x}
+    got, n = distances.of(texts)
+    assert got.tolist() == want and n.tolist() == [len(x) for x in own]
+    # a short window may be kept once for each that follows it
+    assert len(kinds) <= sum(made) < len(want) / 2
+    # the bounds only decide which windows are compared, and a collision of hashes changes nothing
+    for name, x in (("AMONG", 1), ("AMONG", 7), ("SPREAD", (np.uint64(0),) * 2)):
+        monkeypatch.setattr(toxicity, name, x)
+        assert distances.of(texts)[0].tolist() == want
+    batches = [toxicity.pa.RecordBatch.from_pydict({"doc_id": [i, None], "text": ["some text", None]}) for i in range(5)]
+    for most in (1, 100, 10**6):
+        monkeypatch.setattr(toxicity, "TOGETHER", most)
+        assert [r for b in toxicity.together(iter(batches)) for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+    assert list(toxicity.together(iter([]))) == []
+
+
 def test_windows_and_distances_are_those_of_whole_compressions(spark, monkeypatch):
     d = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
