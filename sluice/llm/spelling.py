@@ -151,7 +151,7 @@ def rooted(forms: DataFrame) -> DataFrame:
     hops = materialize(forms.select("word", F.col("form").alias("root")), "hops")
     while True:
         then = hops.select(F.col("word").alias("at"), F.col("root").alias("next"))
-        joined = hops.join(then, F.col("root") == F.col("at"), "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        joined = hops.join(then.hint("merge"), F.col("root") == F.col("at"), "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         hops = materialize(joined, "hops")
         if not hops.filter("moved").limit(1).count():
             return hops.select("word", "root")
@@ -170,11 +170,12 @@ def variants(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **pa
     vocabulary = materialize(words(df, id_col, text_col, **parameters), "vocabulary")
     # A word has as many near ones as its neighbourhood holds at most; they are summed up where they are made first.
     near = near_words(vocabulary).groupBy("spelt").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), F.col("word").alias("form"))).alias("best"))
-    out = vocabulary.join(near, F.col("word") == F.col("spelt"), "left")
+    # Merged: Spark guesses sizes from the vocabulary's compressed files, and would broadcast many candidates a word.
+    out = vocabulary.join(near.hint("merge"), F.col("word") == F.col("spelt"), "left")
     form = (F.col("best").isNotNull()) & (-F.col("best.less") >= 2 * F.col("n"))
     found = materialize(out.select("word", F.when(form, F.col("best.form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(form, -F.col("best.less")).alias("form_n")), "forms")
     roots = rooted(found.filter("form IS NOT NULL")).withColumnRenamed("word", "of")
-    return found.join(roots, F.col("word") == F.col("of"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint("merge"), F.col("word") == F.col("of"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 #: DuckDB SQL for the rows of variants over documents, crc32 included.

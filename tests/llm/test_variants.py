@@ -143,6 +143,22 @@ def test_variants_of_odd_and_empty_tables(spark, odd, none):
     assert spelling.variants(none).count() == 0
 
 
+def test_variants_broadcast_no_table(spark, docs, monkeypatch):
+    """However small Spark takes it for: candidates are many a word, which the size of a vocabulary's files doesn't tell."""
+    plans, write = [], spelling.materialize
+
+    def planned(df, name, *rest):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name, *rest)
+
+    monkeypatch.setattr(spelling, "materialize", planned)
+    out = spelling.variants(docs)
+    plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    assert {"vocabulary", "forms", "hops", "out"} == {name for name, _ in plans} and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    assert not [name for name, plan in plans if "BroadcastExchange" in plan]
+    assert [name for name, plan in plans if "SortMergeJoin" in plan][0] == "forms"
+
+
 def negatives_by_hand(rows, queries) -> Counter:
     part = [(i, y, v) for i, y, v in rows if i is not None and y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     score = lambda a, b: int(sum(x * y for x, y in zip(a, b, strict=False)))
