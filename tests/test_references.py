@@ -7,7 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators import CrosstableUDF, CumAggr, DropDuplicate, GroupBy, SemiJoin, Subquery, agg
+from sluice.operators import CrosstableUDF, CumAggr, DropDuplicate, GroupBy, InnerJoin, LeftOuterJoin, SemiJoin, Subquery, agg
 from sluice.operators.base import LINEAGE
 from sluice.pipeline import Pipeline
 from sluice.plans import catalog, operator_queries, tpch
@@ -100,3 +100,23 @@ def test_many_pairs_or_groups_of_few_bytes_are_the_work_of_many_tasks(spark, sma
     df = Pipeline(spark, operator_queries.PIPELINES[name](catalog.tables(small.replace("sf0.001", "sf0.01")))).frame()
     rows = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert len(rows) >= 4 and max(rows) <= sum(rows) / 2
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+@pytest.mark.parametrize("make", [InnerJoin, LeftOuterJoin])
+@pytest.mark.parametrize("on", [(["s"], ["s"]), (["d"], ["d"]), (["d", "s"], ["d", "s"]), (["s", "s"], ["s", "x"])])
+def test_a_join_of_few_keys_is_the_same_join(spark, odd, make, null_safe, on):
+    other = FrameTable(spark.createDataFrame([(i % 7, d, s, x) for i, (d, s, x) in enumerate([(0.0, "a", "a"), (-0.0, "a", "b"), (float("nan"), None, None), (None, "", "a"), (None, None, None)] * 3)], "id long, d double, s string, x string"), "other", [])
+    want, found = (Pipeline(spark, make(odd, other, *on, null_safe=null_safe, few_keys=few)).frame() for few in (False, True))
+    assert found.columns == want.columns and [f.dataType for f in found.schema] == [f.dataType for f in want.schema]
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_pairs_of_few_keys_take_little_disk(spark, tmp_path):
+    left = FrameTable(spark.range(100_000).select(F.col("id").alias("a"), F.when(F.col("id") >= 100, F.lit("none")).alias("k")), "left", ["a"])
+    right = FrameTable(spark.range(40_000).select(F.col("id").alias("b"), F.lit(None).cast("string").alias("j")), "right", ["b"])
+    df = Pipeline(spark, InnerJoin(left, right, ["k"], ["j"], null_safe=True, few_keys=True)).frame().select("a", "b")
+    df.write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    assert pairs.count() == pairs.distinct().count() == 4_000_000 and pairs.agg(F.max("a"), F.max("b")).first()[:] == (99, 39_999)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 4_000_000 / 2
